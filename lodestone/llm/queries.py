@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses, pii, quality, sentencepieces, urls
+from lodestone.llm import decontam, fmindex, licenses, neardup, pii, quality, sentencepieces, suffixes, urls
 
 RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"),
@@ -38,6 +38,18 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(read(spark, sf_dir, "documents"), shingle=2)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -55,6 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_quality_rules": op2_quality_rules,
         "op3_pii": op3_pii,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
+        "op6_minhash": op6_minhash,
         "op7_decontamination": op7_decontamination,
         "op8_sentencepiece": op8_sentencepiece,
         "op10_licenses": op10_licenses,

@@ -1,4 +1,4 @@
-"""The operators that look at one document at a time, against brute force."""
+"""Operators that look at one document at a time, against brute force."""
 
 import hashlib
 import re
