@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, fmindex, licenses, neardup, pii, quality, sentencepieces, suffixes, urls
+from lodestone.llm import decontam, fmindex, licenses, neardup, perplexity, pii, quality, sentencepieces, suffixes, urls
 
 RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"),
@@ -58,6 +58,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash": op6_minhash,
         "op7_decontamination": op7_decontamination,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_kneser_ney": op9_kneser_ney,
         "op10_licenses": op10_licenses,
     }
 
