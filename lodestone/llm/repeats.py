@@ -168,7 +168,8 @@ def remove(docs: DataFrame, spec: Spec, resolve: Callable[[DataFrame, DataFrame,
     cores = written(_counted(docs, spec))
     placed = written(_placed(keyed, cores, spec))
     mixed = placed.filter("mixed").drop("mixed")
-    equal = mixed.groupBy("core", "hull").agg(F.sum("copies").alias("all")).filter("all > 1").select("core", "hull")
+    # Written, so that the join below reads plain exchanges and Spark can split a hull that many texts share.
+    equal = written(mixed.groupBy("core", "hull").agg(F.sum("copies").alias("all")).filter("all > 1").select("core", "hull"))
     windows = placed.filter("not mixed").select("key", F.col("lo").alias("start"), "n")
     windows = windows.union(mixed.join(equal, ["core", "hull"], "left_semi").select("key", "lo", "n"))
     windows = windows.union(resolve(keyed, mixed, spec))
