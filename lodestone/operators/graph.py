@@ -37,10 +37,10 @@ def sessions_of_symbols(unit_anchors: DataFrame, units: DataFrame) -> DataFrame:
     return home.join(touched.join(sessions, "unit_id", "left_semi"), "file").select("symbol", "file", "unit_id").distinct()
 
 
-def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
+def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries: DataFrame, memories: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, score, rank, expanded): the fused list and the units reached from its first five.
 
-    ``units``: unit_id, source_kind. ``queries``: query_id, text. ``eligible`` (query_id, unit_id), if given, are the only candidates.
+    ``units``: unit_id, source_kind. ``queries``: query_id, text. Of ``memories`` (unit_id) only those in ``shown`` (query_id, unit_id) are candidates.
     """
     seeds = fused.filter(F.col("rank") <= SEEDS).select("query_id", F.col("unit_id").alias("seed"), F.col("rank").alias("seed_rank")).join(units.select(F.col("unit_id").alias("seed"), F.col("source_kind").alias("seed_kind")), "seed")
     own = unit_anchors.select(F.col("unit_id").alias("seed"), "kind", "value", "relationship").distinct()
@@ -53,8 +53,9 @@ def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries:
     paths = paths.withColumn("nth", F.row_number().over(order)).filter("family = 'any' or nth <= 2")
     pages = units_of(unit_anchors, PAGE).select("kind", "value", "unit_id")
     hits = paths.join(pages, ["kind", "value"]).filter("unit_id <> seed").join(units.select("unit_id", "source_kind"), "unit_id")
-    if eligible is not None:
-        hits = hits.join(eligible, ["query_id", "unit_id"], "left_semi")
+    if memories is not None:
+        free = hits.join(memories, "unit_id", "left_anti")
+        hits = free.unionByName(hits.join(memories, "unit_id", "left_semi").join(shown, ["query_id", "unit_id"], "left_semi"))
     asked = queries.select("query_id", T.terms(F.col("text")).alias("asked"))
     kinds = seeds.groupBy("query_id").agg(F.collect_set("seed_kind").alias("seed_kinds"))
     named = F.exists(F.split(F.lower("value"), r"[^\p{L}\p{N}]+", -1), lambda s: (F.octet_length(s) > 2) & F.array_contains("asked", s))

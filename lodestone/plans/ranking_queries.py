@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import admission, graph, ranking
+from lodestone.operators import admission, ranking
 from lodestone.plans import corpus as C
+from lodestone.plans import packets
 from lodestone.plans.registry import QueryTable, registrar
 
 QUERIES: QueryTable = {}
@@ -144,20 +145,10 @@ def budget_admission(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_of(spark: SparkSession, d: str) -> DataFrame:
     """The pool of each question with all that admission looks at."""
-    units, questions = C.units(spark, d), C.questions(spark, d)
-    order = graph.selection_order(graph.expand(_ranked(spark, d), C.unit_anchors(units), units, questions)).filter(F.col("place") <= admission.POOL)
-    asked = questions.select("query_id", T.concepts(F.col("text")).alias("concepts"), T.required_roles(T.facets(F.col("text"))).alias("required"))
-    rows = order.join(units, "unit_id").join(asked, "query_id")
-    low, words = F.lower("evidence_text"), T.terms(F.col("evidence_text"))
-    coverage = F.size(F.filter("concepts", lambda c: T.matches(c, low, words)))
-    rows = rows.withColumn("coverage", coverage).withColumn("credible", T.credible(F.col("concepts"), F.col("evidence_text"), F.col("expanded")))
-    kept = graph.suppress_siblings(rows.select("query_id", "unit_id", "place", "coverage"), units).select("query_id", "unit_id")
-    rows = rows.join(kept, ["query_id", "unit_id"], "left_semi").join(C.vectors(spark, d).select("unit_id", "embedding"), "unit_id", "left")
-    return rows.select(
-        "query_id", "unit_id", "place", "source_kind", T.role_of_kind(F.col("source_kind")).alias("role"), F.col("locator").alias("source_id"),
-        F.when(F.col("source_kind") == "git_commit", F.concat(F.lit("c"), F.floor(F.col("unit_id") / 10).cast("string"))).alias("commit"), F.col("locator").alias("path"), F.lit(None).cast("string").alias("symbol"), F.lit(0).alias("part"),
-        "content_hash", "token_count", "credible", "required", "embedding", "evidence_text", "timestamp",
-    )
+    units = C.units(spark, d)
+    commit = F.when(F.col("source_kind") == "git_commit", F.concat(F.lit("c"), F.floor(F.col("unit_id") / 10).cast("string")))
+    units = units.withColumns({"commit": commit, "path": F.col("locator"), "symbol": F.lit(None).cast("string"), "part": F.lit(0)})
+    return packets.pool(_ranked(spark, d), units, C.unit_anchors(units), C.vectors(spark, d), C.questions(spark, d))
 
 
 @query()
@@ -169,9 +160,4 @@ def full_admission(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def context_packet(spark: SparkSession, d: str) -> DataFrame:
     """One packet a question: the items as JSON, their number and tokens."""
-    pool = pool_of(spark, d)
-    taken = admission.admit(pool.drop("evidence_text", "timestamp")).select("query_id", "unit_id", "position")
-    item = F.struct("position", "source_kind", F.col("source_id").alias("source_locator"), "evidence_text", T.render_time(F.col("timestamp"), F.lit(1_731_000_000).cast("long")).alias("timestamp"))
-    rows = taken.join(pool, ["query_id", "unit_id"])
-    packets = rows.groupBy("query_id").agg(F.sum("token_count").alias("token_count"), F.count("*").alias("n_items"), F.array_sort(F.collect_list(item)).alias("items"))
-    return C.questions(spark, d).join(packets, "query_id", "left").select("query_id", F.col("text").alias("query"), F.coalesce("token_count", F.lit(0).cast("long")).alias("token_count"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.to_json("items").alias("items"))
+    return packets.packets(pool_of(spark, d), C.questions(spark, d), 1_731_000_000).withColumn("items", F.to_json("items"))
