@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.bloom import BlockedBloom, filter_of
 from lodestone.llm.common import chunks, plain, written
 
 ORDER = 5
@@ -106,12 +107,15 @@ class Scorer:
     def __init__(self, rows: pa.Table, order: int):
         self.order = order
         self.tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        langs = np.array(rows.column("lang").to_pylist(), dtype=object)
+        names = rows.column("lang").combine_chunks().dictionary_encode()
+        if isinstance(names, pa.ChunkedArray):
+            names = names.combine_chunks()
+        langs = np.asarray(names.indices)
         n, gram = np.asarray(rows.column("n")), np.asarray(rows.column("gram")).view(np.uint64)
         p, w = (np.nan_to_num(np.asarray(rows.column(c).fill_null(float("nan"))), nan=miss) for c, miss in (("p", 0.0), ("weight", 1.0)))
-        for lang in set(langs):
+        for number, lang in enumerate(names.dictionary.to_pylist()):
             for k in range(order + 1):
-                some = np.flatnonzero((langs == lang) & (n == k))
+                some = np.flatnonzero((langs == number) & (n == k))
                 some = some[np.argsort(gram[some])]
                 self.tables[lang, k] = (gram[some], p[some], w[some])
 
@@ -154,9 +158,7 @@ def perplexities(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_en
         rows = table if shards == 1 else table.filter((F.col("n") <= 1) | mine(last) | mine(context))
         return spark.sparkContext.broadcast(Scorer(rows.toArrow(), order))
 
-    def scored(k: int) -> DataFrame:
-        shared = part(k)
-
+    def scored(k: int, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import pandas as pd
 
@@ -176,14 +178,33 @@ def perplexities(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_en
 
         return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, n_bytes bigint, log2 double")
 
-    out = scored(0)
     if shards == 1:
-        return out
-    for k in range(1, shards):
-        out = out.union(scored(k))
+        return scored(0, part(0))
+    out = None
+    for k in range(shards):
+        # One shard at a time is in memory, here and on the executors.
+        shared = part(k)
+        one = written(scored(k, shared))
+        shared.destroy()
+        out = one if out is None else out.union(one)
     return out.groupBy(*keep, "n_bytes").agg(F.sum("log2").alias("log2"))
 
 
+def _pruned(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Without most documents that are not trusted, so that the join moves no more text than it must."""
+    shared = filter_of(trusted.select(F.xxhash64("doc_id")))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = BlockedBloom(shared.value)
+        for b in batches:
+            if b.num_rows:
+                keep = pa.array(known.might_hold(np.asarray(b.column(b.num_columns - 1)).astype(np.int64)))
+                yield b.select(schema.names).filter(keep)
+
+    return docs.withColumn("_hash", F.xxhash64("doc_id")).mapInArrow(run, schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """doc_id, perplexity (per byte), threshold and kept for each document."""
     trusted = plain(labels, "doc_id", "quality", "toxic").filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
@@ -191,7 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     docs = plain(docs, "doc_id", "lang", "text").withColumn("fold", fold)
     # A model is named by fold and language: trusted texts count towards the model of the other fold.
     named = lambda f: F.concat(f.cast("string"), F.lit(":"), F.coalesce("lang", F.lit("")))
-    some = docs.join(trusted, "doc_id", "left_semi").withColumn("lang", named(1 - F.col("fold")))
+    some = _pruned(docs, trusted).join(trusted, "doc_id", "left_semi").withColumn("lang", named(1 - F.col("fold")))
     table = written(model(some, order))
     docs = docs.withColumn("lang", named(F.col("fold"))).drop("fold")
     # A row number tells repeated rows apart when a document's shards are summed; one shard needs none.
