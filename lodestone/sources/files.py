@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.parsers import EXTENSIONS
 
 SKIPPED_DIRS = ["target", "node_modules", ".venv", "venv", "dist", "build", ".git"]
 MAX_BYTES = 10 << 20
@@ -31,6 +32,20 @@ def _visible(root: Path) -> list[str] | None:
     return [os.fsdecode(x) for x in done.stdout.split(b"\0") if x] if done.returncode == 0 else None
 
 
+def _unlisted(top: Path) -> list[str]:
+    """Sources that Spark's file listing leaves out: it skips names that start with a dot or an underscore."""
+    out = []
+    for folder, folders, names in os.walk(top):
+        folders[:] = [f for f in folders if f not in SKIPPED_DIRS]
+        inside = Path(folder).relative_to(top).parts
+        for name in names:
+            ending = name.rpartition(".")[2].lower()
+            wanted = ending in EXTENSIONS or ending in ("md", "markdown", "mdown", "txt") or "/".join((*inside, name)) == LEDGER
+            if wanted and any(p.startswith((".", "_")) for p in (*inside, name)):
+                out.append(f"file://{Path(folder, name)}")
+    return out
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(locator, source_kind, text, content_hash, modified_at) of every source below ``root``.
 
@@ -41,6 +56,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     top = repository_root(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{top}")
     locator = F.expr(f"substr(regexp_replace(path, '^file:/+', '/'), {len(str(top)) + 2})")
+    if hidden := _unlisted(top):
+        files = files.unionByName(spark.read.format("binaryFile").load(hidden))
     rows = files.select(locator.alias("locator"), "content", "length", F.unix_timestamp("modificationTime").alias("modified_at"))
     parts = F.split("locator", "/", -1)
     rows = rows.filter((F.col("length") <= MAX_BYTES) & ~F.exists(parts, lambda p: p.isin(SKIPPED_DIRS)))
