@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.window import Window
 
 from lodestone.operators.chunking import MAX_TOKENS, MERGE_BELOW, split_oversized
 from lodestone.sources import parsers
@@ -15,6 +15,10 @@ from lodestone.sources import parsers
 UNIT = "locator string, source_kind string, ordinal bigint, kind string, evidence_text string, routing_text string, token_count bigint, content_hash string, anchors array<struct<kind:string,value:string,relationship:string>>"
 
 
+#: Parts of one file of a commit at most.
+FILE_PARTS = 1 << 20
+
+
 def tokens(text: str) -> int:
     return max(1, -(-len(text) // 4))
 
@@ -134,7 +138,7 @@ def git_units(files: DataFrame, commits: DataFrame) -> DataFrame:
 
         for f in frames:
             rows = []
-            for oid, path, old, status, patch, message in zip(f["oid"], f["path"], f["old_path"], f["status"], f["patch"], f["message"], strict=True):
+            for oid, path, old, status, patch, message, place in zip(f["oid"], f["path"], f["old_path"], f["status"], f["patch"], f["message"], f["place"], strict=True):
                 subject = (message or "").split("\n")[0]
                 head = f"commit {oid[:8]} {subject}\n\n{path}\n\n"
                 room = MAX_TOKENS * 4 - len(head)
@@ -153,10 +157,9 @@ def git_units(files: DataFrame, commits: DataFrame) -> DataFrame:
                 for k, body in enumerate(parts):
                     routing = f"source: git_change\ncommit: {oid[:8]}\nmessage: {subject}\nchanged file: {path}\nchanged symbol: -\nchange: {change}" + (f"\npart: {k + 1}" if len(parts) > 1 else "")
                     text = head + body
-                    rows.append((f"git:{oid}", "git_commit", k, "git", text, routing, tokens(text), _hash("git", text, routing), anchors))
+                    rows.append((f"git:{oid}", "git_commit", place * FILE_PARTS + k, "git", text, routing, tokens(text), _hash("git", text, routing), anchors))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNIT.split(", ")])
 
-    return files.join(commits.select("oid", "message"), "oid").mapInPandas(run, UNIT)
-
-
-
+    # All files of a commit are one source, whose ordinals must differ.
+    numbered = files.withColumn("place", F.row_number().over(Window.partitionBy("oid").orderBy("path")).cast("long"))
+    return numbered.join(commits.select("oid", "message"), "oid").mapInPandas(run, UNIT)
