@@ -63,6 +63,11 @@ def _set_keys(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out.view(np.uint8).reshape(-1, _KEY)
 
 
+def _half(keys: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each key as a number."""
+    return np.ascontiguousarray(keys.reshape(-1, _KEY)[:, :8]).view(np.int64).ravel()
+
+
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     seeds = np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (mix(seeds) >> np.uint64(32)).astype(np.uint32)
@@ -211,23 +216,23 @@ def _reach(sets: np.ndarray, begin: np.ndarray, sketch: np.ndarray, similarity:
 
 def _verified(docs: DataFrame, members: DataFrame, sketches: DataFrame, size: int, similarity: int, limits: list[tuple[int, int]]) -> DataFrame:
     """(key, root) of exactly linked groups within the candidate components ``members`` (key, root)."""
-    shared = filter_of(members.select(F.xxhash64("key")))
-    key_hash = F.xxhash64("key")
+    # A key is a hash already: its first half, as a number, is what the filter holds.
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_half(buffer_of(b.column(0))[0]))], ["half"])
+
+    shared = filter_of(written(members.select("key").mapInArrow(halves, "half bigint")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = BlockedBloom(shared.value)
         for _, buf, at in chunks(batches, "text"):
             h, begin = shingle_sets(buf, at, size)
             keys = _set_keys(h, begin)
             counts = np.diff(begin)
-            yield pa.RecordBatch.from_arrays([binary_array(keys.ravel(), np.full(len(counts), _KEY)), binary_array(h.view(np.uint8), counts * 8)], ["key", "shingles"])
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = BlockedBloom(shared.value)
-        for b in batches:
-            keep = pa.array(known.might_hold(np.asarray(b.column(2)).astype(np.int64)) if b.num_rows else np.zeros(0, bool))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["key", "shingles"])
+            keep = np.flatnonzero(known.might_hold(_half(keys.ravel())))
+            yield pa.RecordBatch.from_arrays([binary_array(keys[keep].ravel(), np.full(len(keep), _KEY)), binary_array(h[ranges(begin[keep], counts[keep])].view(np.uint8), counts[keep] * 8)], ["key", "shingles"])
 
-    found = docs.select("text").mapInArrow(sets, "key binary, shingles binary").select("key", "shingles", key_hash).mapInArrow(prune, "key binary, shingles binary")
+    found = docs.select("text").mapInArrow(sets, "key binary, shingles binary")
     rows = found.groupBy("key").agg(F.first("shingles").alias("shingles")).join(members, "key").join(sketches, "key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

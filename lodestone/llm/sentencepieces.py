@@ -30,10 +30,10 @@ from lodestone.llm.common import chunks, plain
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text bytes whose words are sorted together.
-SHARE_BYTES = 6 << 20
+SHARE_BYTES = 2 << 20
 #: Words and pairs of pieces remembered between chunks at most.
 REMEMBER_WORDS = 150_000
-REMEMBER_PAIRS = 400_000
+REMEMBER_PAIRS = 200_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _MISSING = -1
 
