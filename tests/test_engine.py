@@ -27,11 +27,12 @@ def repo(tmp_path_factory):
     (root / "hidden.md").write_text("# Hidden\n\nIgnored but Markdown, so it counts.\n")
     (root / ".gitignore").write_text("ignored.py\nhidden.md\n")
     (root / "bad.txt").write_bytes(b"\xff\xfe\xfa")
+    run("add", "-A")
+    run("commit", "-qm", "Add the auth module")
+    # Not under version control: the text of a patch has no lifecycle and would show hidden memories.
     (root / ".agents/curation").mkdir(parents=True)
     old = RECORD | {"id": "m0", "status": "superseded", "statement": "Keep tokens qwertz forever."}
     (root / ".agents/curation/memory.json").write_text(json.dumps({"version": 1, "records": [RECORD, old, {"id": "m2"}]}))
-    run("add", "-A")
-    run("commit", "-qm", "Add the auth module")
     return root
 
 
