@@ -1,12 +1,15 @@
 """Licence scan in DataFrame functions only: Dice coefficient over word bigrams against templates.
 
-A unit of comparison is one line, or the whole text.  A unit and a template are compared only when
-their bigram counts allow the threshold (size bounds); and a text is looked at line by line only when it
-shares a bigram with the part of some template that every match has to touch (prefix bound).  Both
-bounds are exact: they never lose a match.
-
-Defined results: null and empty texts match nothing; of equal scores the template named last in
-alphabetical order wins; repeated rows are scanned one by one; extra columns are dropped.
+A unit of comparison is one line, the whole text, or any run of words in it, so that a notice wrapped
+over lines or embedded in a longer one is found.  A unit and a template are compared only when
+their bigram counts allow the threshold (size bounds); and a text is looked at closely only when it
+shares a bigram with the part of some template that every match has to touch (prefix bound), and run by
+run only for templates of which it holds enough bigrams.  The bounds are exact: they never lose a match.
+A run is as long as the size bound of the template's words, repeats counted, at most.
+
+Defined results: null and empty texts match nothing; of equal scores a line or the whole text comes before
+a run, of runs the one of the larger template, and then the template named last in alphabetical order;
+repeated rows are scanned one by one; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -62,9 +65,13 @@ TEMPLATES: list[tuple[str, str, str]] = [
 _OTHER = "[^a-z0-9]+"
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(_OTHER, " ", text.lower()).split()
+
+
 def bigrams_of(text: str) -> list[str]:
     """Distinct word bigrams of a template, sorted."""
-    words = re.sub(_OTHER, " ", text.lower()).split()
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -87,25 +94,56 @@ def _bigrams(text: Column) -> Column:
 
 
 def _best(unit: Column, templates: list[tuple[str, str, str]], threshold: float) -> Column:
-    """The best (dice, template, license) of a unit given as its distinct bigrams, or null."""
+    """The best (dice, unit, size, template, license) of a unit given as its distinct bigrams, or null."""
     scores = []
     for name, license_id, text in sorted(templates):
         own = bigrams_of(text)
         low, high = math.ceil(threshold / (2 - threshold) * len(own) - 1e-9), math.floor((2 - threshold) / threshold * len(own) + 1e-9)
         size = F.size(unit)
         dice = F.lit(2.0) * F.size(F.array_intersect(unit, F.array(*map(F.lit, own)))) / (size + len(own))
-        scores.append(F.when(size.between(low, high), F.when(dice >= threshold, F.struct(F.round(dice, 6).alias("dice"), F.lit(name).alias("template"), F.lit(license_id).alias("license")))))
+        scores.append(F.when(size.between(low, high), F.when(dice >= threshold, _match(dice, 1, 0, name, license_id))))
     return F.greatest(*scores)
 
 
+def _match(dice: Column, unit: int, size: int, name: str, license_id: str) -> Column:
+    # Compared from left to right.
+    return F.struct(F.round(dice, 6).alias("dice"), F.lit(unit).alias("unit"), F.lit(size).alias("size"), F.lit(name).alias("template"), F.lit(license_id).alias("license"))
+
+
+def _best_run(grams: Column, whole: Column, templates: list[tuple[str, str, str]], threshold: float) -> Column:
+    """The best match of any run of words, given the bigrams of a text in order and once each, or null."""
+    scores = []
+    for name, license_id, text in sorted(templates):
+        own = bigrams_of(text)
+        need, longest = math.ceil(threshold / (2 - threshold) * len(own) - 1e-9), math.floor((2 - threshold) / threshold * (len(_words(text)) - 1) + 1e-9)
+        scores.append(F.when(F.size(F.array_intersect(whole, F.array(*map(F.lit, own)))) >= need, _run_of(grams, own, need, longest, threshold, name, license_id)))
+    return F.greatest(*scores)
+
+
+def _run_of(grams: Column, own: list[str], need: int, longest: int, threshold: float, name: str, license_id: str) -> Column:
+    held = F.array(*map(F.lit, own))
+    # Without leading bigrams that are not of the template a run scores no less, so only runs that begin with one are tried.
+    starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(held, F.get(grams, i - 1)))
+    runs = F.filter(F.transform(starts, lambda i: F.array_distinct(F.slice(grams, i, F.lit(longest)))), lambda r: F.size(F.array_intersect(r, held)) >= need)
+
+    def longer(a: Column, gram: Column) -> Column:
+        n, shared = a["n"] + 1, a["shared"] + F.array_contains(held, gram).cast("int")
+        return F.struct(n.alias("n"), shared.alias("shared"), F.greatest(a["dice"], F.lit(2.0) * shared / (n + len(own))).alias("dice"))
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"))
+    dice = F.array_max(F.transform(runs, lambda r: F.aggregate(r, zero, longer, lambda a: a["dice"])))
+    return F.when(dice >= threshold, _match(dice, 0, len(own), name, license_id))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: its best match (license, template, dice; null if none) and its number of matching lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     near = F.arrays_overlap(_bigrams(text), F.array(*map(F.lit, _prefixes(templates, threshold))))
     step = plain(docs, "doc_id", "text").select("doc_id", text.alias("text"), near.alias("near"))
     units = F.when(F.col("near"), F.transform(F.split("text", "\n", -1), lambda x: F.array_distinct(_bigrams(x))))
-    step = step.select("doc_id", units.alias("units"), F.when(F.col("near"), F.array_distinct(_bigrams(F.col("text")))).alias("whole"))
+    step = step.select("doc_id", units.alias("units"), F.when(F.col("near"), _bigrams(F.col("text"))).alias("grams"))
+    step = step.select("doc_id", "units", "grams", F.array_distinct("grams").alias("whole"))
     lines = F.filter(F.transform("units", lambda u: _best(u, templates, threshold)), lambda x: x.isNotNull())
-    step = step.select("doc_id", F.coalesce(lines, F.array()).alias("lines"), F.when(F.size("whole") > 0, _best(F.col("whole"), templates, threshold)).alias("all"))
-    best = F.greatest(F.array_max("lines"), F.col("all"))
+    step = step.select("doc_id", F.coalesce(lines, F.array()).alias("lines"), F.when(F.size("whole") > 0, _best(F.col("whole"), templates, threshold)).alias("all"), F.when(F.size("whole") > 0, _best_run(F.col("grams"), F.col("whole"), templates, threshold)).alias("run"))
+    best = F.greatest(F.array_max("lines"), F.col("all"), F.col("run"))
     return step.select("doc_id", best.alias("best"), F.size("lines").cast("long").alias("n_lines")).select("doc_id", F.col("best.license").alias("license"), F.col("best.template").alias("template"), F.col("best.dice").alias("dice"), "n_lines")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -158,6 +159,20 @@ def test_licenses(spark):
     same(map(tuple, licenses.scan(frame(spark, rows)).collect()), want)
 
 
+def test_licenses_wrapped_and_embedded(spark):
+    wrap = lambda t: "\n".join("# " + x for x in textwrap.wrap(" ".join(t.split()), 40, break_long_words=False))
+    body = "\n".join(f"line {k} of the program does something else" for k in range(60))
+    rows = [(k, f"{body}\n{wrap(t)}\n{body}") for k, (_, _, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(100 + k, f"{body} {' '.join(t.split())} {body}".replace("\n", " ")) for k, (_, _, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(200, f"{body}\n{wrap(licenses.TEMPLATES[0][2][:150])}\n{body}"), (201, f"{body}\n{wrap(dict((n, t) for n, _, t in licenses.TEMPLATES)['mit-full'][:120])}\n{body}")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for k, (name, license_id, _) in enumerate(licenses.TEMPLATES):
+        assert (got[k].license, got[k].template, got[k].dice) == (license_id, name, 1.0)
+        assert (got[100 + k].license, got[100 + k].template, got[100 + k].dice, got[100 + k].n_lines) == (license_id, name, 1.0, 0)
+    # Less than the threshold of a template is no match of it.
+    assert got[200].template == "apache-short" and got[201].license is None
+
+
 def test_urls(spark):
     odd = ["http://EXAMPLE.com/en/7", "x://a.b.com", "://", "http://com/en/", "http://examplexcom/en/", "http://notexample.net/de/8?x=/en/", None, "nothing", "http://a.example.net:80/de/80#x/", "https://www.theron.example.com/fr/386.html/?utm_source=x#y", "http://u.org?/es/", "http://theron.example.com/fr/386.html?b=1"]
     rows = [(r["page_id"], r["url"]) for r in table("pages")] + [(9000 + i, u) for i, u in enumerate(odd)] + [(None, odd[0]), (9000, odd[0])]
