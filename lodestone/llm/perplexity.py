@@ -8,9 +8,14 @@ log-probability is the sum over shards.  Texts are in two folds by their hash, a
 model of the other, so that no document is judged by counts of itself.  A language's threshold is a
 quantile of the perplexities of all its trusted documents, plus a slack.
 
+A language without trusted texts in both folds has no two models of its own.  All its documents are scored by
+the models of all languages together, one a fold, and so are all trusted documents once more: a language's
+threshold is then the quantile of its own trusted documents by these models, or, if it has none, that
+of the trusted documents of all languages.
+
 Defined results: a null or empty text has no n-grams, no perplexity and is not kept; a null language
-is the language ``""``; without trusted documents in a language its threshold is that of all languages
-together, and without any, nothing is rejected; a document with several labels is trusted if one of
+is the language ``""``; without trusted texts in both folds of all languages together there is no
+held-out perplexity to compare with, and nothing is rejected; a document with several labels is trusted if one of
 them trusts it; ties with the threshold are kept; extra columns are dropped.
 """
 
@@ -210,18 +215,34 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     trusted = plain(labels, "doc_id", "quality", "toxic").filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     fold = F.pmod(F.xxhash64("text"), F.lit(2))
     docs = plain(docs, "doc_id", "lang", "text").withColumn("fold", fold)
-    # A model is named by fold and language: trusted texts count towards the model of the other fold.
-    named = lambda f: F.concat(f.cast("string"), F.lit(":"), F.coalesce("lang", F.lit("")))
-    some = _pruned(docs, trusted).join(trusted, "doc_id", "left_semi").withColumn("lang", named(1 - F.col("fold")))
-    table = written(model(some, order))
-    docs = docs.withColumn("lang", named(F.col("fold"))).drop("fold")
+    # A model is named by fold and language, or by the fold alone if it is of all languages: trusted texts count
+    # towards the model of the other fold.
+    docs = docs.withColumn("own", F.coalesce("lang", F.lit(""))).drop("lang")
+    named = lambda f: F.concat(f.cast("string"), F.lit(":"), F.col("own"))
+    some = _pruned(docs, trusted).join(trusted, "doc_id", "left_semi")
+    table = written(model(some.withColumn("lang", named(1 - F.col("fold"))), order))
+    names = {r.lang for r in table.filter("n = 1").select("lang").distinct().collect()}
+    whole = [x[2:] for x in names if x[0] == "0" and f"1:{x[2:]}" in names]
+    scoped = F.col("own").isin(whole)
+    pooled = bool(names) and bool(docs.filter(~scoped).limit(1).count())
+    docs = docs.select("doc_id", "own", F.when(scoped, named(F.col("fold"))).otherwise(F.col("fold").cast("string")).alias("lang"), F.lit(False).alias("extra"), "text")
+    both = False
+    if pooled:
+        some = written(some)
+        rest = written(model(some.withColumn("lang", (1 - F.col("fold")).cast("string")), order))
+        both = rest.filter("n = 1").select("lang").distinct().count() == 2
+        table = written(table.filter(F.substring("lang", 3, 1 << 30).isin(whole)).union(rest))
+        docs = docs.union(some.select("doc_id", "own", F.col("fold").cast("string"), F.lit(True), "text"))
     # A row number tells repeated rows apart when a document's shards are summed; one shard needs none.
     scored = perplexities(docs, table, order, shard_entries) if table.count() <= shard_entries else perplexities(written(docs.withColumn("row", F.monotonically_increasing_id())), table, order, shard_entries)
     value = F.when(F.col("n_bytes") > 0, F.round(F.pow(F.lit(2.0), -F.col("log2") / F.col("n_bytes")), 6))
-    scored = written(scored.select("doc_id", F.substring("lang", 3, 1 << 30).alias("lang"), value.alias("perplexity")))
-    known = scored.join(trusted, "doc_id", "left_semi").filter("perplexity is not null")
-    limit = F.percentile("perplexity", F.lit(quantile)) * slack
-    by_lang = known.groupBy("lang").agg(F.round(limit, 6).alias("own"))
-    every = known.agg(F.round(F.coalesce(limit, F.lit(float("inf"))), 6)).first()[0]
-    out = scored.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(every)))
+    scored = written(scored.select("doc_id", "own", "extra", value.alias("perplexity")))
+    # The trusted documents by the models that score the others of their language.
+    known = scored.join(trusted, "doc_id", "left_semi").filter(F.col("perplexity").isNotNull() & (F.col("extra") | scoped))
+    limit = F.round(F.percentile("perplexity", F.lit(quantile)) * slack, 6)
+    by_lang = known.filter(F.col("extra") != scoped).groupBy("own").agg(limit.alias("threshold"))
+    every = known.filter("extra").agg(limit).first()[0] if both else None
+    if not both:
+        by_lang = by_lang.filter(scoped)
+    out = scored.filter("not extra").join(F.broadcast(by_lang), "own", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("inf") if every is None else every)))
     return out.select("doc_id", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

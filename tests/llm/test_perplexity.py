@@ -72,3 +72,26 @@ def test_odd_inputs(spark):
         assert len(out) == 6 and [r.kept for r in out if r.doc_id in (2, 3)] == [False, False]
     assert all(r.kept for r in perplexity.classify(docs, labels.limit(0)).collect() if r.perplexity is not None)
     assert perplexity.classify(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+@pytest.mark.parametrize("entries", [10**6, 3000])
+def test_languages_without_models(spark, entries):
+    clean = [f"the {a} of the {b} is in the {c}" for a in ("house", "garden", "river", "tower") for b in ("town", "king", "valley") for c in ("north", "south", "east", "west")]
+    junk = ["\u00a7%&#" * 8 + str(k) for k in range(6)]
+    # xx has no trusted document, yy those of one fold only, en many.
+    texts = [t for t in clean if t]
+    folds = {r.text: r.f for r in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "pmod(xxhash64(text), 2) as f").collect()}
+    yy = [t for t in texts[36:] if folds[t] == 0][:4]
+    rows = [(k, t, "en") for k, t in enumerate(texts[:36])] + [(100 + k, t, "yy") for k, t in enumerate(yy)]
+    trusted = [r[0] for r in rows]
+    rows += [(200 + k, t, "xx") for k, t in enumerate(texts[36:])] + [(300 + k, t, "xx") for k, t in enumerate(junk)] + [(400 + k, t, "yy") for k, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in perplexity.classify(docs, labels, shard_entries=entries).collect()}
+    assert len(out) == len(rows) and len(yy) > 1
+    clean_xx = [r for i, r in out.items() if 200 <= i < 300]
+    assert all(r.perplexity < 30 for r in clean_xx) and sum(r.kept for r in clean_xx) >= 0.75 * len(clean_xx)
+    assert not any(out[i].kept for i in out if i >= 300)
+    assert all(out[i].perplexity < 30 for i in out if 100 <= i < 200)
+    # Repeated rows of trusted documents are not scored into the result twice.
+    assert sorted(out) == sorted(i for i, _, _ in rows)
