@@ -115,9 +115,13 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     if "+" in text:
         found += (("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15)
     if numbers:
-        for m in _IBAN.finditer(text):
+        at = 0
+        while m := _IBAN.search(text, at):
+            # A match may run on into the next IBAN, so the search resumes at the confirmed end.
+            at = m.start() + 1
             if (end := _iban_end(text, m)) is not None:
                 found.append(("iban", m.start(), end))
+                at = end
         found += (("ssn", m.start(), m.end()) for m in _SSN.finditer(text))
     out = []
     for kind, s, e in found:

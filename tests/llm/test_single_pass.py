@@ -143,6 +143,14 @@ def test_unigram_viterbi():
     assert [np.frombuffer(x, "<i4").tolist() for x in enc.encode_sorted(ws)] == [best(w) for w in ws]
 
 
+def test_adjacent_ibans():
+    grouped, short = ["GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "BE68 5390 0754 7034"], ["NO9386011117947", "BE68539007547034"]
+    for ibans in (grouped, short, [*short, *grouped], ["XX00 AAAA BBBB CCCC", *short]):
+        text = "iban " + " ".join(ibans)
+        assert [text[b:e] for k, b, e, _ in pii.find_spans(text) if k == "iban"] == [x for x in ibans if x[:2] != "XX"]
+        assert not any(x in pii.masked(text) for x in ibans if x[:2] != "XX")
+
+
 def test_licenses(spark):
     rows = corpus() + [(700 + k, "some words first.\n" + t.replace("\n", " ") + "\nmore words") for k, (_, _, t) in enumerate(licenses.TEMPLATES)] + [(800, licenses.TEMPLATES[0][2])]
     cut = lambda t: set(zip(w := re.sub("[^a-z0-9]+", " ", t.lower()).split(), w[1:], strict=False))
