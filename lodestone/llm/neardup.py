@@ -10,8 +10,8 @@ member with those not reached yet, so every link that joins different groups is
 
 Defined results: texts without words have an empty set, are linked with nothing and form a group of
 their own; a null doc_id never names a group unless all of a group's are null; the group's name is
-its smallest doc_id, and of repeated rows with that doc_id each counts as kept; extra columns are
-dropped by ``components`` and pass through ``keep_one``.
+its smallest doc_id, and of repeated rows with that doc_id each counts as kept by ``components``, while
+``keep_one`` keeps the first; extra columns are dropped by ``components`` and pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -168,8 +168,42 @@ def _bucket_pairs(rows: DataFrame, similarity: int, limits: list[tuple[int, int]
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([binary_array(key[a].ravel(), np.full(len(a), _KEY)), binary_array(key[b].ravel(), np.full(len(b), _KEY))], ["a", "b"])
 
-    dealt = rows.repartition(F.col("band")).sortWithinPartitions("band")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    # In order of keys, so that the smallest key of a group is its hub in every band.
+    dealt = rows.repartition(F.col("band")).sortWithinPartitions("band", "key")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def folded(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b), a < b, that connect the same: each end keeps the edge to its least neighbour, which gets those to the others.
+
+    A stream over sorted edges: no end's neighbours are gathered.  Edges of one group from many bands
+    become about one a member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, least = b"", b""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (buffer_of(batch.column(i))[0].reshape(-1, _KEY) for i in range(2))
+            new = np.ones(len(b), bool)
+            new[1:] = (b[1:] != b[:-1]).any(axis=1)
+            first = np.flatnonzero(new)
+            hub = a[np.repeat(first, np.diff(np.append(first, len(b))))]
+            if b[0].tobytes() == end:
+                # The end's least neighbour came with an earlier batch.
+                size = int(first[1]) if len(first) > 1 else len(b)
+                hub[:size] = np.frombuffer(least, np.uint8)
+                new[0] = False
+            end, least = b[-1].tobytes(), hub[-1].tobytes()
+            other = np.where(new[:, None], b, a)
+            again = np.zeros(len(b), bool)
+            again[1:] = (a[1:] == a[:-1]).all(axis=1) & ~new[1:]
+            keep = ~again & (hub != other).any(axis=1)
+            x, y = hub[keep], other[keep]
+            yield pa.RecordBatch.from_arrays([binary_array(x.ravel(), np.full(len(x), _KEY)), binary_array(y.ravel(), np.full(len(y), _KEY))], ["a", "b"])
+
+    return edges.repartition(F.col("b")).sortWithinPartitions("b", "a").mapInArrow(run, "a binary, b binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -294,7 +328,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), *(b.column(i).take(row) for i in range(3))], ["band", "key", "n", "sketch"])
 
     rows = classes.select("key", "n", "sketch", "bands").mapInArrow(candidates, "band bigint, key binary, n bigint, sketch binary")
-    edges = written(_bucket_pairs(rows, similarity, limits))
+    edges = written(folded(folded(_bucket_pairs(rows, similarity, limits))).distinct())
     roots = written(_verified(docs, connected(edges), classes.select("key", "sketch"), shingle, similarity, limits))
     least = classes.select("key", "least").join(roots, "key").groupBy("root").agg(F.min("least").alias("component"))
     named = classes.select("key", "least").join(roots.join(least, "root").select("key", "component"), "key", "left")
@@ -305,6 +339,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents that name their group, with all their columns; rows without a doc_id stay."""
-    gone = components(docs, shingle, similarity).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
+    """One row of each group, with all its columns: that of the smallest doc_id, of repeated ones the first; rows without a doc_id stay."""
+    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    named = rows.filter(F.col("doc.doc_id").isNotNull()).select(F.struct(F.col("doc.doc_id").alias("doc_id"), "row").alias("doc_id"), F.col("doc.text").alias("text"))
+    gone = components(named, shingle, similarity).filter("not kept").select("doc_id.row")
+    return rows.join(gone, "row", "left_anti").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

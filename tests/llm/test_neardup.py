@@ -67,6 +67,40 @@ def test_keep_one_and_empty(spark):
     assert neardup.components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_keep_one_keeps_one_row_of_repeated_ids(spark):
+    same_set = "one two three four five six seven"
+    # doc_id 4 carries two texts: one is a copy of document 1, the other stands alone and has to stay.
+    docs = [(1, same_set), (1, same_set), (4, same_set.upper()), (4, "nothing like the others at all"), (9, "nothing like the others at all"), (None, same_set), (7, ""), (7, "")]
+    out = neardup.keep_one(frame(spark, docs)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", same_set), ("4", "nothing like the others at all"), ("None", same_set), ("7", ""), ("7", "")])
+    assert neardup.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_folded_edges_connect_the_same(spark):
+    rng = random.Random(3)
+    key = lambda k: k.to_bytes(16, "big")
+    edges = [tuple(sorted(rng.sample(range(g * 100, g * 100 + 60), 2))) for g in range(8) for _ in range(45 * 30)]
+    edges += [(900, k) for k in range(901, 40_000)] + [(950, k) for k in range(951, 40_000)]
+
+    def groups(pairs):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            root[max(find(x), find(y))] = min(find(x), find(y))
+        return {x: find(x) for x in root}
+
+    df = spark.createDataFrame([(key(a), key(b)) for a, b in edges], "a binary, b binary").repartition(5)
+    got = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in neardup.folded(neardup.folded(df)).distinct().collect()]
+    assert groups(got) == groups(edges) and all(a < b for a, b in got)
+    assert len(got) < 1.05 * len(groups(edges))
+
+
 def test_bounds_never_prune_what_reaches_the_threshold_often():
     limits = neardup._least_matches(80, neardup.MISS)
     rng = np.random.default_rng(0)
