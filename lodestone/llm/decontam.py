@@ -64,32 +64,54 @@ def _fingerprints(hashes: RangeHash, starts: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints and windows of one block of the benchmark."""
+    """Fingerprints and distinct windows of one block of the benchmark; windows name the set of items that hold them."""
 
     def __init__(self, texts: pa.Array, ids: list[str]):
-        self.ids = ids
+        self.ids = pa.array(ids, pa.string())
         h, h2, first = _words(*buffer_of(texts))
         a, b = RangeHash(h), RangeHash(h2, 1)
         sizes = np.diff(first)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         starts, item = _starts(first, WINDOW)
         self.prints = np.unique(a.get(p := _fingerprints(a, starts), p + SHINGLE)) if len(starts) else np.zeros(0, np.uint64)
-        if len(starts):
-            self._add(WINDOW, a, b, starts, item)
+        found = {WINDOW: self._windows(WINDOW, a, b, starts, item)} if len(starts) else {}
         for n in range(1, WINDOW):
             some = np.flatnonzero(sizes == n)
             if len(some):
-                self._add(n, a, b, first[some], some)
-
-    def _add(self, n: int, a: RangeHash, b: RangeHash, starts: np.ndarray, item: np.ndarray) -> None:
+                found[n] = self._windows(n, a, b, first[some], some)
+        # Windows of a passage are mostly held by the same items: each distinct set of items is kept once.
+        parts = list(found.values())
+        codes = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint64)
+        _, kept, number = np.unique(codes, return_index=True, return_inverse=True)
+        items, heads, sizes = ([np.zeros(0, np.int64)] for _ in range(3))
+        for _, _, _, own, head in parts:
+            heads.append(head + sum(map(len, items)))
+            sizes.append(np.diff(np.append(head, len(own))))
+            items.append(own)
+        self.set_sizes = np.concatenate(sizes)[kept]
+        self.set_items = np.concatenate(items)[ranges(np.concatenate(heads)[kept], self.set_sizes)]
+        self.set_first = np.cumsum(self.set_sizes) - self.set_sizes
+        ends = np.cumsum([len(p[0]) for p in parts])
+        self.by_length = {n: (p[0], p[1], number[e - len(p[0]) : e]) for (n, p), e in zip(found.items(), ends, strict=True)}
+
+    @staticmethod
+    def _windows(n: int, a: RangeHash, b: RangeHash, starts: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The two hashes of each distinct window, a hash of the set of its items; the items of all, and where each window's begin."""
         x, y = a.get(starts, starts + n), b.get(starts, starts + n)
-        order = np.lexsort((item, x))
-        self.by_length[n] = (x[order], y[order], item[order])
+        order = np.lexsort((item, y, x))
+        x, y, item = x[order], y[order], item[order].astype(np.int64)
+        other = np.ones(len(x), bool)
+        other[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        once = other.copy()
+        once[1:] |= item[1:] != item[:-1]
+        x, y, item, other = x[once], y[once], item[once], other[once]
+        head = np.flatnonzero(other)
+        tail = np.append(head[1:], len(x))
+        return x[head], y[head], RangeHash(item.astype(np.uint64) + np.uint64(1)).get(head, tail), item, head
 
     def hits(self, a: RangeHash, b: RangeHash, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and item of each occurrence of a window."""
+        """Start, end and set of items of each occurrence of a window."""
         found = []
-        for n, (x, y, item) in self.by_length.items():
+        for n, (x, y, number) in self.by_length.items():
             starts, _ = _starts(first, n)
             if n == WINDOW and len(starts):
                 kept = np.unique(_fingerprints(a, starts))
@@ -105,14 +127,40 @@ class Index:
             rows = ranges(low, high - low)
             s = np.repeat(np.arange(len(starts)), high - low)
             same = y[rows] == w[s]
-            found.append((starts[s[same]], np.full(int(same.sum()), n), item[rows[same]]))
+            found.append((starts[s[same]], np.full(int(same.sum()), n), number[rows[same]]))
         if not found:
             none = np.zeros(0, np.int64)
             return none, none, none
-        s, n, item = (np.concatenate(x) for x in zip(*found, strict=True))
-        return s, s + n, item
-
-
+        s, n, number = (np.concatenate(x) for x in zip(*found, strict=True))
+        return s, s + n, number
+
+    def lists(self, first: np.ndarray, s: np.ndarray, e: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, pa.Array, pa.Array, pa.Array]]:
+        """For slices from one text to another: covered word intervals (starts, ends) and item ids, a list a text."""
+        n = len(first) - 1
+        doc = np.searchsorted(first, s, "right") - 1
+        # A gap between texts, so that runs never join two of them.
+        x, y = covered_runs(s + doc, e + doc)
+        run_doc = np.searchsorted(first + np.arange(n + 1), x, "right") - 1
+        x, y = x - run_doc - first[run_doc], y - run_doc - first[run_doc]
+        pair = np.unique(doc * np.int64(len(self.set_sizes) + 1) + number)
+        pair_doc, pair_set = pair // (len(self.set_sizes) + 1), pair % (len(self.set_sizes) + 1)
+        grown = np.concatenate(([0], np.cumsum(np.bincount(pair_doc, self.set_sizes[pair_set], n)))).astype(np.int64)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(grown, grown[lo] + _EXPANDED, "right")) - 1)
+            p, q = np.searchsorted(pair_doc, [lo, hi])
+            sets = pair_set[p:q]
+            item = self.set_items[ranges(self.set_first[sets], self.set_sizes[sets])]
+            both = np.unique(np.repeat(pair_doc[p:q], self.set_sizes[sets]) * np.int64(len(self.ids) + 1) + item)
+            i, j = np.searchsorted(run_doc, [lo, hi])
+            offsets = lambda d: pa.array(np.concatenate(([0], np.cumsum(np.bincount(d - lo, minlength=hi - lo)))).astype(np.int32))
+            runs = offsets(run_doc[i:j])
+            yield lo, hi, pa.ListArray.from_arrays(runs, pa.array(x[i:j])), pa.ListArray.from_arrays(runs, pa.array(y[i:j])), pa.ListArray.from_arrays(offsets(both // (len(self.ids) + 1)), self.ids.take(pa.array(both % (len(self.ids) + 1))))
+            lo = hi
+
+
+#: Items listed in one batch at most, but for those of a single document.
+_EXPANDED = 200_000
 _HITS = "starts array<bigint>, ends array<bigint>, items array<string>"
 
 
@@ -123,19 +171,12 @@ def _pass(docs: DataFrame, keys: list[str], block: pa.Table) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        lists, strings = pa.list_(pa.int64()), pa.list_(pa.string())
         for batch, buf, at in chunks(batches, "text"):
             h, h2, first = _words(buf, at)
-            s, e, item = index.hits(RangeHash(h), RangeHash(h2, 1), first)
-            starts, ends, items = ([[] for _ in range(batch.num_rows)] for _ in range(3))
-            if len(s):
-                doc = np.searchsorted(first, s, "right") - 1
-                for d in np.unique(doc):
-                    mine = doc == d
-                    x, y = covered_runs(s[mine] - first[d], e[mine] - first[d])
-                    starts[d], ends[d] = x.tolist(), y.tolist()
-                    items[d] = [index.ids[i] for i in np.unique(item[mine])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(np.diff(first)), pa.array(starts, lists), pa.array(ends, lists), pa.array(items, strings)], [*keys, "n_words", "starts", "ends", "items"])
+            sizes = pa.array(np.diff(first))
+            for lo, hi, *found in index.lists(first, *index.hits(RangeHash(h), RangeHash(h2, 1), first)):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), sizes.slice(lo, hi - lo), *found], [*keys, "n_words", "starts", "ends", "items"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, n_words bigint, {_HITS}")
@@ -149,7 +190,8 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         return _pass(docs, ["doc_id"], bench.toArrow())
     n = -(-size * 2 // block_bytes)
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()))
-    bench = written(bench.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))))
+    # Dealt by row, so that copies of one item spread over the blocks too.
+    bench = written(bench.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))))
     passes = [_pass(rows, ["row", "doc_id"], bench.filter(F.col("part") == i).select("item_id", "text").toArrow()) for i in range(n)]
     every = passes[0]
     for x in passes[1:]:
@@ -160,16 +202,14 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 def digest(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, words hit, items found and their hash, and whether any word is hit."""
 
-    @F.pandas_udf("bigint")
-    def covered(starts, ends):
-        import pandas as pd
-
-        return pd.Series([int((lambda r: (r[1] - r[0]).sum())(covered_runs(np.asarray(s), np.asarray(e)))) if len(s) else 0 for s, e in zip(starts, ends, strict=True)], dtype="int64")
-
+    # Words in the union of the intervals: each adds what lies beyond the end of those before it.
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
+    grow = lambda acc, x: F.struct(F.greatest(acc["end"], x["ends"]).alias("end"), (acc["total"] + F.greatest(F.lit(0).cast("long"), x["ends"] - F.greatest(acc["end"], x["starts"]))).alias("total"))
+    covered = F.aggregate(F.array_sort(F.arrays_zip("starts", "ends")), zero, grow, lambda acc: acc["total"])
     none = hashlib.sha256(b"").hexdigest()
     found = find(docs, benchmark, block_bytes)
     items = F.when(F.size("items") > 0, F.sha2(F.array_join(F.array_sort("items"), ","), 256)).otherwise(none)
-    return found.select("doc_id", "n_words", covered("starts", "ends").alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

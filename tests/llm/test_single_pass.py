@@ -105,6 +105,18 @@ def test_decontamination(spark, block):
     same(map(tuple, got), list(brute_hits(docs, items)))
 
 
+@pytest.mark.parametrize("block", [8 << 20, 4000])
+def test_decontamination_of_a_passage_in_many_items(spark, block):
+    passage = " ".join(f"shared{k}" for k in range(40))
+    items = [(k, f"own{k} words {passage} end{k}") for k in range(120)] + [(7, items_text := f"own7 words {passage} end7"), (500, items_text)]
+    docs = [(k, f"doc{k} says {passage} and {passage} more") for k in range(150)] + [(900, "nothing here"), (901, None), (902, " ".join(passage.split()[:9]))]
+    got = decontam.digest(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block).collect()
+    same(map(tuple, got), list(brute_hits(docs, items)))
+    empty = spark.createDataFrame([], DOCS)
+    assert decontam.digest(empty, spark.createDataFrame(items, "item_id long, text string"), block).count() == 0
+    assert decontam.digest(empty, spark.createDataFrame([], "item_id long, text string"), block).count() == 0
+
+
 def test_decontamination_filter(spark):
     items = [(r["item_id"], r["text"]) for r in table("benchmark")]
     bench = spark.createDataFrame(items, "item_id long, text string")
