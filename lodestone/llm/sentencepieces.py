@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,32 @@ from lodestone.llm.common import chunks, plain
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text bytes whose words are sorted together.
-SHARE_BYTES = 2 << 20
-#: Words and pairs of pieces remembered between chunks at most.
-REMEMBER_WORDS = 150_000
-REMEMBER_PAIRS = 200_000
+SHARE_BYTES = 4 << 20
+#: Words remembered between the chunks of a task at most, and pairs of pieces and automaton steps between tasks.
+REMEMBER_WORDS = 250_000
+REMEMBER_PAIRS = 400_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _MISSING = -1
 
 
+def shared_prefixes(words: list[str]) -> Iterator[int]:
+    """The length of the prefix that each word shares with the one before it."""
+    width, last = 24, ""
+    for i in range(0, len(words), 20_000):
+        block = [last, *words[i : i + 20_000]]
+        # The first characters as numbers, zero beyond a word's end; the rest of longer words is compared by itself.
+        head = np.array([w[:width] for w in block], f"U{width}").view(np.uint32).reshape(len(block), width)
+        same = np.argmin(np.column_stack((head[1:] == head[:-1], np.zeros(len(block) - 1, bool))), axis=1)
+        for before, word, k in zip(block, block[1:], same.tolist(), strict=False):
+            most = min(len(before), len(word))
+            k = min(k, most)
+            if k == width:
+                while k < most and before[k] == word[k]:
+                    k += 1
+            yield k
+        last = block[-1]
+
+
 class Encoder:
     """One model's pieces as an automaton, and the forward pass over words."""
 
@@ -45,7 +64,10 @@ class Encoder:
         self.pieces, self.byte_ids, self.unigram, self.surface = pieces, byte_ids, unigram, surface
         self.names = {i: p for p, (i, _) in pieces.items()}
         self.low = min((s for _, s in pieces.values()), default=0.0) - 10.0
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.sizes = {i: len(p) for i, p in self.names.items()}
+        #: For each piece, whether it may follow a piece; a missing character before it (-1) always lets it.
+        self.fits: dict[int, dict[int, bool]] = {i: {_MISSING: True} for i in self.names}
+        self.n_fits = self.n_steps = 0
         self.words: dict[str, bytes] = {}
         self._automaton()
 
@@ -99,6 +121,8 @@ class Encoder:
                 fail[child] = step[back].get(c, 0) if step[back].get(c, 0) != child else 0
                 queue.append(child)
         self.step, self.fail, self.out = step, fail, out
+        #: Steps of the automaton, failures followed, as they come to be known.
+        self.goto = [dict(x) for x in step]
 
     def bpe(self, text: str) -> list[int]:
         """Merges by score, the leftmost of equal ones first, as the definition says; characters outside are missing."""
@@ -115,56 +139,82 @@ class Encoder:
         return [self.pieces[p][0] if p in self.pieces else _MISSING for p in parts]
 
     def _pair(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) >= REMEMBER_PAIRS:
-                self.fits.clear()
-            known = self.fits[a, b] = self.bpe(self.names[a] + self.names[b]) == [a, b]
+        if self.n_fits >= REMEMBER_PAIRS:
+            self.fits, self.n_fits = {i: {_MISSING: True} for i in self.names}, 0
+        self.n_fits += 1
+        known = self.fits[b][a] = self.bpe(self.names[a] + self.names[b]) == [a, b]
         return known
 
+    def _step(self, node: int, c: str) -> int:
+        """Where a character leads that is no edge of the trie."""
+        start = node
+        while node and c not in self.step[node]:
+            node = self.fail[node]
+        node = self.step[node].get(c, 0)
+        if self.n_steps >= REMEMBER_PAIRS:
+            self.goto[:], self.n_steps = [dict(x) for x in self.step], 0
+        self.n_steps += 1
+        self.goto[start][c] = node
+        return node
+
     def encode_sorted(self, words: list[str]) -> Iterator[bytes]:
         """The ids of each word as little-endian int32, for words in sorted order."""
-        step, fail, out, names, pieces = self.step, self.fail, self.out, self.names, self.pieces
-        nodes, lasts, sizes, scores = [0], [_MISSING], [0], [0.0]
-        before = ""
-        for word in words:
-            k, most = 0, min(len(before), len(word))
-            while k < most and before[k] == word[k]:
-                k += 1
-            del nodes[k + 1 :], lasts[k + 1 :], sizes[k + 1 :], scores[k + 1 :]
+        return self._viterbi(words) if self.unigram else self._merged(words)
+
+    def _ids(self, word: str, lasts: list[int]) -> bytes:
+        """The ids on the way back from the last state."""
+        sizes, ids, i = self.sizes, [], len(word)
+        while i:
+            last = lasts[i]
+            if last < 0:
+                ids.extend(self.byte_ids[b] for b in reversed(word[i - 1].encode()))
+                i -= 1
+            else:
+                ids.append(last)
+                i -= sizes[last]
+        ids.reverse()
+        return array("i", ids).tobytes()
+
+    def _viterbi(self, words: list[str]) -> Iterator[bytes]:
+        out, names, pieces = self.out, self.names, self.pieces
+        nodes, lasts, scores = [0], [_MISSING], [0.0]
+        for word, k in zip(words, shared_prefixes(words), strict=True):
+            del nodes[k + 1 :], lasts[k + 1 :], scores[k + 1 :]
             node = nodes[k]
-            for i in range(k + 1, len(word) + 1):
-                c = word[i - 1]
-                while node and c not in step[node]:
-                    node = fail[node]
-                node = step[node].get(c, 0)
+            for c in word[k:]:
+                known = self.goto[node].get(c)
+                node = self._step(node, c) if known is None else known
                 nodes.append(node)
-                last, size, score = _MISSING, 1, 0.0
-                if self.unigram:
-                    score = scores[i - 1] + self.low if c not in pieces else -1e30
-                    for n, p in out[node]:
-                        if (s := scores[i - n] + pieces[names[p]][1]) > score:
-                            last, size, score = p, n, s
-                else:
-                    for n, p in out[node]:
-                        prior = lasts[i - n]
-                        if i == n or prior == _MISSING or self.fits.get((prior, p)) or ((prior, p) not in self.fits and self._pair(prior, p)):
-                            last, size = p, n
-                            break
+                # Of equal scores the longest last piece wins; a character without a piece comes last.
+                last, score = _MISSING, float("-inf")
+                for n, p in out[node]:
+                    if (s := scores[-n] + pieces[names[p]][1]) > score:
+                        last, score = p, s
+                if c not in pieces and (s := scores[-1] + self.low) > score:
+                    last, score = _MISSING, s
                 lasts.append(last)
-                sizes.append(size)
                 scores.append(score)
-            ids: list[int] = []
-            i = len(word)
-            while i:
-                if lasts[i] == _MISSING:
-                    ids.extend(self.byte_ids[b] for b in reversed(word[i - 1].encode()))
-                else:
-                    ids.append(lasts[i])
-                i -= sizes[i]
-            ids.reverse()
-            yield np.array(ids, "<i4").tobytes()
-            before = word
+            yield self._ids(word, lasts)
+
+    def _merged(self, words: list[str]) -> Iterator[bytes]:
+        out = self.out
+        nodes, lasts = [0], [_MISSING]
+        for word, k in zip(words, shared_prefixes(words), strict=True):
+            del nodes[k + 1 :], lasts[k + 1 :]
+            node = nodes[k]
+            for c in word[k:]:
+                known = self.goto[node].get(c)
+                node = self._step(node, c) if known is None else known
+                nodes.append(node)
+                last = _MISSING
+                for n, p in out[node]:
+                    # Of the state before the piece; the first state is -1 like a missing character.
+                    fit = self.fits[p].get(lasts[-n])
+                    if self._pair(lasts[-n], p) if fit is None else fit:
+                        last = p
+                        break
+                lasts.append(last)
+            yield self._ids(word, lasts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts' distinct words are encoded together."""
@@ -177,9 +227,17 @@ class Encoder:
         known = self.words
         return [b"".join([known[w] for w in x]) for x in cut]
 
-    def decode(self, ids: bytes) -> str:
+    def forget(self) -> None:
+        """Words are remembered for a task, not by an idle worker."""
+        self.words.clear()
+
+    def spelled(self, ids: bytes) -> bytes:
+        """The bytes that some pieces stand for, a marked word's blank included."""
         surface = self.surface
-        out = b"".join([surface[i] for i in np.frombuffer(ids, "<i4").tolist()])
+        return b"".join([surface[i] for i in array("i", ids)])
+
+    def decode(self, ids: bytes) -> str:
+        out = self.spelled(ids)
         return out[1:].decode("utf-8", "replace") if out[:1] == b" " else out.decode("utf-8", "replace")
 
 
@@ -204,20 +262,27 @@ def _ids_column(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
-def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """All columns of ``docs`` but ``text``, and ``ids`` (an array of int)."""
-    names = [c for c in docs.columns if c != "text"]
+def encode(docs: DataFrame, model_path: str = MODEL, checked: bool = False) -> DataFrame:
+    """All columns of ``docs`` but ``text``, and ``ids`` (an array of int); columns of that name are replaced.
+
+    ``checked`` adds ``round_trip``: whether decoding the ids gives the text back.
+    """
+    added = ["ids", "round_trip"][: 1 + checked]
+    names = [c for c in docs.columns if c.lower() not in ("text", *added)]
     shared = _shared(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _encoder(shared.value)
         for batch, _, _ in chunks(batches, "text", SHARE_BYTES):
-            ids = model.encode([x or "" for x in batch.column(len(names)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), _ids_column(ids)], [*names, "ids"])
+            texts = [x or "" for x in batch.column(len(names)).to_pylist()]
+            ids = model.encode(texts)
+            extra = [pa.array([model.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())] if checked else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), _ids_column(ids), *extra], [*names, *added])
+        model.forget()
 
     source = docs.select(*(F.col(f"`{c}`") for c in names), "text")
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
-    return source.mapInArrow(run, f"{kinds}, ids array<int>")
+    kinds = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in names)
+    return source.mapInArrow(run, f"{kinds}ids array<int>" + ", round_trip boolean" * checked)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -246,5 +311,6 @@ def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids = model.encode(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([model.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())], ["doc_id", "n_pieces", "ids_sha256", "round_trip"])
+        model.forget()
 
     return plain(docs, "doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces bigint, ids_sha256 string, round_trip boolean")

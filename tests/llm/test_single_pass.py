@@ -136,6 +136,52 @@ def test_sentencepiece(spark):
     assert all(r.round_trip or "▁" in texts[r.doc_id] for r in rows)
 
 
+def test_sentencepiece_digest_and_odd_tables(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    rows = [*corpus(), (7001, "x" * 60 + " " + "y" * 61 + " " + "x" * 61), (7002, "Aß" * 40 + " " + "Aß" * 41)]
+    got = sentencepieces.digest(frame(spark, rows)).collect()
+    want = []
+    for i, t in rows:
+        ids = lib.encode(t or "")
+        want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), "▁" not in (t or "")))
+    same(map(tuple, got), want)
+    assert sentencepieces.digest(spark.createDataFrame([], DOCS)).count() == 0
+    clash = spark.createDataFrame([("a b", 1, 2, "r")], "text string, ids int, doc_id int, round_trip string")
+    out = sentencepieces.encode(clash, checked=True)
+    assert out.columns == ["doc_id", "ids", "round_trip"] and tuple(out.first()) == (2, lib.encode("a b"), True)
+    assert sentencepieces.decode(out).first().text == "a b"
+
+
+def test_unigram_model_of_a_file(spark, tmp_path):
+    """A unigram model written by hand, over the DataFrame path, against the library."""
+    import random
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(5)
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.vocab_size = 1, True, 0
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))):
+        model.pieces.add(piece=piece, score=0.0, type=kind)
+    names = {"▁", *"abcdefghijklmnopqrstuvwxyzABCDE.,\n"}
+    for _, t in corpus():
+        for w in words(t)[:20]:
+            i = rng.randrange(len(w))
+            names.add((w[i : i + rng.randint(1, 5)], "▁" + w[: rng.randint(1, 6)])[rng.random() < 0.5].replace("▁▁", "▁"))
+    for piece in sorted(p for p in names if "▁" not in p[1:]):
+        model.pieces.add(piece=piece, score=-rng.randrange(8, 96) / 8, type=1)  # sums are exact, so that ties are ties
+    model.trainer_spec.vocab_size = len(model.pieces)
+    path = str(tmp_path / "hand.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {i: t or "" for i, t in corpus() if i is not None}
+    got = sentencepieces.encode(frame(spark, list(texts.items())), path, checked=True).collect()
+    assert all(r.ids == lib.encode(texts[r.doc_id]) for r in got) and len(got) == len(texts)
+    assert all(r.round_trip or "▁" in texts[r.doc_id] for r in got)
+
+
 def test_unigram_viterbi():
     import random
 
