@@ -29,8 +29,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars and the ids of the text's pieces."""
-    return sentencepieces.encode(docs)
+    """doc_id, lang, source, n_chars, the ids of the text's pieces, and whether decoding them gives the text back."""
+    return sentencepieces.encode(docs, checked=True)
 
 
 STAGES = [
