@@ -145,8 +145,7 @@ class Engine:
         units_ = table.withColumns({"commit": F.when(F.col("source_kind") == "git_commit", F.col("locator")), "path": path, "symbol": F.regexp_extract("routing_text", "(?m)^(?:changed )?symbol: (.*)$", 1), "part": F.coalesce(part, F.lit(0))})
         # Expansion never leads to a memory that the question's tiers hide, nor to an excluded unit.
         hidden = table.filter("source_kind = 'hindsight_memory'").select("unit_id")
-        reach = anchors if excluded is None else anchors.join(excluded, "unit_id", "left_anti")
-        rows = packets.pool(ranked, units_, reach, vectors, questions, hidden_but=packets.eligible(table, questions), memories=hidden)
+        rows = packets.pool(ranked, units_, anchors, vectors, questions, hidden_but=packets.eligible(table, questions), memories=hidden, excluded=excluded)
         return packets.packets(rows, questions, now or int(time.time()), limits)
 
     def _numbered(self, rows: DataFrame, after: int, path: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
+# Word lists, facets, roles, tiers and confidences that results depend on.
+
 STOPWORDS = (
     "the a an and or of to in on for with from into over after before between through does do is are was were be been how "
     "what when where which why who find show get all any use using need"
@@ -54,6 +58,32 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _NOT_ALNUM, -1), lambda t: t != "")
 
 
+def _folds() -> tuple[str, str]:
+    """Lower-case letters that are a basic letter with one diacritic, and those letters."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        whole = unicodedata.normalize("NFD", chr(code))
+        if len(whole) == 2 and whole[0].isalpha() and unicodedata.combining(whole[1]) and chr(code) == chr(code).lower():
+            pairs.append((chr(code), whole[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _folds()
+
+
+def index_terms(text: Column) -> Column:
+    """Terms as the full-text index has them: without diacritics."""
+    low = F.lower(text)
+    # Few texts need the letter-by-letter pass.
+    bare = F.regexp_replace(F.translate(low, _ACCENTED, _PLAIN), "[\u0300-\u036f]", "")
+    return F.filter(F.split(F.when(low.rlike("[\u00c0-\u1fff]"), bare).otherwise(low), _NOT_ALNUM, -1), lambda t: t != "")
+
+
+def first_term(text: Column) -> Column:
+    """The first term of a text, or null."""
+    return F.nullif(F.regexp_extract(F.lower(text), r"[\p{L}\p{N}]+", 0), F.lit(""))
+
+
 def content_hash(*parts: Column) -> Column:
     """A hash of the parts, each closed by a NUL."""
     return F.sha2(F.concat(*(F.concat(p, F.lit("\0")) for p in parts)), 256)

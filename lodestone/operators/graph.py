@@ -18,12 +18,16 @@ def anchors_of(unit_anchors: DataFrame, units: DataFrame) -> DataFrame:
     return unit_anchors.join(units.select("unit_id").distinct(), "unit_id", "left_semi").dropDuplicates(["unit_id", "kind", "value", "relationship"]).withColumn("ordinal", F.row_number().over(order))
 
 
+def first_units(unit_anchors: DataFrame, limit: int) -> DataFrame:
+    """For each anchor its first ``limit`` units by id; each task cuts its own part of an anchor before units move."""
+    order = Window.partitionBy("kind", "value").orderBy("unit_id")
+    return unit_anchors.select("kind", "value", "unit_id").distinct().withColumn("ordinal", F.row_number().over(order)).filter(F.col("ordinal") <= limit)
+
+
 def units_of(unit_anchors: DataFrame, limit: int) -> DataFrame:
     """For each anchor its first ``limit`` units by id, and how many more it has."""
-    pairs = unit_anchors.select("kind", "value", "unit_id").distinct()
-    order = Window.partitionBy("kind", "value").orderBy("unit_id")
-    total = pairs.groupBy("kind", "value").agg(F.count("*").alias("total"))
-    page = pairs.withColumn("ordinal", F.row_number().over(order)).filter(F.col("ordinal") <= limit)
+    total = unit_anchors.select("kind", "value", "unit_id").distinct().groupBy("kind", "value").agg(F.count("*").alias("total"))
+    page = first_units(unit_anchors, limit)
     return page.join(total, ["kind", "value"]).select("kind", "value", "unit_id", "ordinal", F.greatest(F.col("total") - limit, F.lit(0).cast("long")).alias("more"))
 
 
@@ -37,10 +41,11 @@ def sessions_of_symbols(unit_anchors: DataFrame, units: DataFrame) -> DataFrame:
     return home.join(touched.join(sessions, "unit_id", "left_semi"), "file").select("symbol", "file", "unit_id").distinct()
 
 
-def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries: DataFrame, memories: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
+def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries: DataFrame, memories: DataFrame | None = None, shown: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, score, rank, expanded): the fused list and the units reached from its first five.
 
     ``units``: unit_id, source_kind. ``queries``: query_id, text. Of ``memories`` (unit_id) only those in ``shown`` (query_id, unit_id) are candidates.
+    Units in ``excluded`` (unit_id) are none, though they count towards an anchor's page.
     """
     seeds = fused.filter(F.col("rank") <= SEEDS).select("query_id", F.col("unit_id").alias("seed"), F.col("rank").alias("seed_rank")).join(units.select(F.col("unit_id").alias("seed"), F.col("source_kind").alias("seed_kind")), "seed")
     own = unit_anchors.select(F.col("unit_id").alias("seed"), "kind", "value", "relationship").distinct()
@@ -51,8 +56,12 @@ def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries:
     paths = paths.withColumn("family", family).filter("family is not null")
     order = Window.partitionBy("query_id", "seed", "family").orderBy("kind", "value", "relationship")
     paths = paths.withColumn("nth", F.row_number().over(order)).filter("family = 'any' or nth <= 2")
-    pages = units_of(unit_anchors, PAGE).select("kind", "value", "unit_id")
+    # Pages of the anchors on some path only.
+    led = unit_anchors.join(paths.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    pages = first_units(led, PAGE).select("kind", "value", "unit_id")
     hits = paths.join(pages, ["kind", "value"]).filter("unit_id <> seed").join(units.select("unit_id", "source_kind"), "unit_id")
+    if excluded is not None:
+        hits = hits.join(excluded.select("unit_id").distinct(), "unit_id", "left_anti")
     if memories is not None:
         free = hits.join(memories, "unit_id", "left_anti")
         hits = free.unionByName(hits.join(memories, "unit_id", "left_semi").join(shown, ["query_id", "unit_id"], "left_semi"))

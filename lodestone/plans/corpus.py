@@ -31,19 +31,20 @@ def units(spark: SparkSession, d: str) -> DataFrame:
         T.estimate_tokens(F.col("text")).alias("token_count"), F.sha2("text", 256).alias("content_hash"), (F.lit(1_700_000_000) + i * 3600).alias("timestamp"),
         status.alias("status"), F.when(i % 5 == 4, pick(CONFIDENCES, F.floor(i / 5) % 5)).alias("confidence"),
         F.when((i % 5 == 4) & (i % 3 == 0), "candidate_for_removal").alias("scar_state"),
-        F.when(i % 5 == 4, F.array(F.concat(F.lit("src/"), F.element_at(F.concat(T.terms(F.col("text")), T.strings(["none"])), 1), F.lit(".rs")))).alias("scope_paths"),
+        F.when(i % 5 == 4, F.array(F.concat(F.lit("src/"), F.coalesce(T.first_term(F.col("text")), F.lit("none")), F.lit(".rs")))).alias("scope_paths"),
     )
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.terms(F.col("text")), 1, 8), " ").alias("text"))
+    """Every benchmark text as a question, whole."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def unit_anchors(units_: DataFrame) -> DataFrame:
     i, kind = F.col("unit_id"), F.col("source_kind")
     file = F.concat(F.lit("f"), (F.floor(i / 5) % 25).cast("string"))
     rel = T.choice(kind, {"code": "defined_in", "markdown": "documented_in", "git_commit": "changes", "agent_session": "touched", "hindsight_memory": "applies_to"})
-    first = F.element_at(F.concat(T.terms(F.col("evidence_text")), T.strings(["none"])), 1)
+    first = F.coalesce(T.first_term(F.col("evidence_text")), F.lit("none"))
     a = lambda when, k, v, r: F.when(when, F.struct(F.lit(k).alias("kind"), v.alias("value"), r.alias("relationship")))
     every = F.array_compact(F.array(
         a(F.lit(True), "file", file, rel),
@@ -66,6 +67,10 @@ def sql_terms(x: str) -> str:
     return rf"list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
+def sql_index_terms(x: str) -> str:
+    return sql_terms(f"strip_accents({x})")
+
+
 def sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -80,7 +85,7 @@ SQL_UNITS = f"""units AS (SELECT d.doc_id AS unit_id, {sql_list(KINDS)}[d.doc_id
  CASE WHEN d.doc_id % 5 = 4 THEN ['src/' || coalesce({sql_terms('text')}[1], 'none') || '.rs'] END AS scope_paths
  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
-SQL_QUESTIONS = f"q AS (SELECT item_id AS query_id, array_to_string({sql_terms('text')}[1:8], ' ') AS text FROM benchmark)"
+SQL_QUESTIONS = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 SQL_ANCHORS = f"""ua AS (
  SELECT unit_id, 'file' AS kind, 'f' || ((unit_id // 5) % 25) AS value, CASE source_kind WHEN 'code' THEN 'defined_in' WHEN 'markdown' THEN 'documented_in' WHEN 'git_commit' THEN 'changes' WHEN 'agent_session' THEN 'touched' ELSE 'applies_to' END AS relationship FROM units
@@ -92,9 +97,9 @@ SQL_ANCHORS = f"""ua AS (
 
 def sql_bm25(column: str, name: str, where: str = "TRUE") -> str:
     """CTEs that end in ``name`` (query_id, unit_id, score)."""
-    return f"""{name}_qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({sql_terms('text')}) AS term FROM q) GROUP BY ALL),
- {name}_p AS (SELECT unit_id, term, count(*) AS tf FROM (SELECT unit_id, unnest({sql_terms(column)}) AS term FROM units) GROUP BY ALL),
- {name}_dl AS (SELECT unit_id, len({sql_terms('evidence_text')}) + len({sql_terms('routing_text')}) AS dl FROM units),
+    return f"""{name}_qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({sql_index_terms('text')}) AS term FROM q) GROUP BY ALL),
+ {name}_p AS (SELECT unit_id, term, count(*) AS tf FROM (SELECT unit_id, unnest({sql_index_terms(column)}) AS term FROM units) GROUP BY ALL),
+ {name}_dl AS (SELECT unit_id, len({sql_index_terms('evidence_text')}) + len({sql_index_terms('routing_text')}) AS dl FROM units),
  {name}_c AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM {name}_dl),
  {name}_i AS (SELECT term, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END AS idf FROM (SELECT term, count(*) AS df FROM {name}_p GROUP BY term), {name}_c),
  {name} AS (SELECT query_id, p.unit_id, sum(times * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
@@ -103,3 +108,25 @@ def sql_bm25(column: str, name: str, where: str = "TRUE") -> str:
 
 def sql_top(source: str, n: int) -> str:
     return f"SELECT * FROM (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rank FROM {source}) WHERE rank <= {n}"
+
+
+def sql_facets(asked: str) -> str:
+    """CTEs that end in f (query_id, facet, n) in order, from ``asked`` (query_id, text)."""
+    tests = []
+    for k, (name, single, phrases, _) in enumerate(T.FACETS):
+        test = " OR ".join([f"len(list_intersect(tokens, {sql_list(single)})) > 0", *(f"contains(line, ' {p} ')" for p in phrases)])
+        tests.append(f"SELECT query_id, '{name}' AS facet, {k} AS n FROM t WHERE {test}")
+    return f"""t AS (SELECT query_id, {sql_terms('text')} AS tokens, ' ' || array_to_string({sql_terms('text')}, ' ') || ' ' AS line FROM {asked}),
+ f0 AS ({" UNION ALL ".join(tests)}), f AS (SELECT * FROM f0 UNION ALL SELECT query_id, 'current_behavior', 6 FROM t WHERE query_id NOT IN (SELECT query_id FROM f0))"""
+
+
+#: (facet, place, role) for SQL.
+ROLE_ROWS = ", ".join(f"('{name}', {k}, '{r}')" for name, _, _, roles in T.FACETS for k, r in enumerate(roles))
+
+
+def sql_concepts(asked: str) -> str:
+    """CTEs that end in k (query_id, raw, pieces, identifier, n), from ``asked`` (query_id, text)."""
+    words = r"string_split_regex(text, '\s+')"
+    return rf"""w AS (SELECT query_id, w, n FROM (SELECT query_id, unnest({words}) AS w, generate_subscripts({words}, 1) AS n FROM {asked}) WHERE w <> ''),
+ c AS (SELECT query_id, lower(w) AS raw, {sql_terms('w')} AS pieces, regexp_matches(w, '[_.-]') OR regexp_matches(w, '\p{{Ll}}\p{{Lu}}') AS identifier, n FROM w WHERE lower(w) NOT IN ({", ".join(f"'{s}'" for s in T.STOPWORDS)})),
+ k AS (SELECT * FROM c WHERE len(pieces) > 0 QUALIFY row_number() OVER (PARTITION BY query_id, raw ORDER BY n) = 1)"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+from lodestone.functions.scratch import written
 from lodestone.operators import graph, history
 from lodestone.plans import corpus as C
 from lodestone.plans import ranking_queries as R
@@ -20,11 +22,10 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
     return C.unit_anchors(C.units(spark, d))
 
 
-@query(f"{_GRAPH} SELECT unit_id, kind, value, relationship, row_number() OVER (PARTITION BY unit_id ORDER BY kind, value, relationship) AS ordinal FROM (SELECT DISTINCT * FROM ua) WHERE unit_id % 7 = 0")
+@query(f"{_GRAPH} SELECT unit_id, kind, value, relationship, row_number() OVER (PARTITION BY unit_id ORDER BY kind, value, relationship) AS ordinal FROM (SELECT DISTINCT * FROM ua)")
 def anchors_for_unit(spark: SparkSession, d: str) -> DataFrame:
-    """The anchors of every seventh unit, as asked for."""
     units = C.units(spark, d)
-    out = graph.anchors_of(C.unit_anchors(units), units.filter("unit_id % 7 = 0"))
+    out = graph.anchors_of(C.unit_anchors(units), units)
     return out.select("unit_id", "kind", "value", "relationship", F.col("ordinal").cast("long").alias("ordinal"))
 
 
@@ -41,37 +42,26 @@ def symbol_sessions_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.sessions_of_symbols(C.unit_anchors(units), units)
 
 
-_EXPANSION = f"""{R._FUSED2}, {C.SQL_ANCHORS}, dua AS (SELECT DISTINCT * FROM ua),
- seeds AS (SELECT query_id, unit_id AS seed, source_kind AS seed_kind FROM fused JOIN units USING (unit_id) WHERE rank <= 5),
- paths AS (SELECT query_id, seed, seed_kind, kind, value, relationship, CASE WHEN seed_kind <> 'hindsight_memory' THEN 'any' WHEN kind <> 'memory' THEN 'provenance' WHEN relationship <> 'self' THEN 'lifecycle' END AS family FROM seeds JOIN dua ON dua.unit_id = seed),
- kept AS (SELECT * FROM paths WHERE family IS NOT NULL QUALIFY family = 'any' OR row_number() OVER (PARTITION BY query_id, seed, family ORDER BY kind, value, relationship) <= 2),
- pages AS (SELECT kind, value, unit_id FROM (SELECT DISTINCT kind, value, unit_id FROM ua) QUALIFY row_number() OVER (PARTITION BY kind, value ORDER BY unit_id) <= 10),
- hits AS (SELECT k.query_id, k.kind, k.value, p.unit_id, u.source_kind FROM kept k JOIN pages p ON p.kind = k.kind AND p.value = k.value JOIN units u ON u.unit_id = p.unit_id WHERE p.unit_id <> k.seed),
- asked AS (SELECT query_id, {C.sql_terms('text')} AS asked FROM q), sk AS (SELECT query_id, list(DISTINCT seed_kind) AS kinds FROM seeds GROUP BY query_id),
- sums AS (SELECT h.query_id, h.unit_id, sum(0.02::DOUBLE + CASE WHEN kind = 'symbol' AND len(list_filter(string_split_regex(lower(value), '[^\\p{{L}}\\p{{N}}]+'), lambda s: strlen(s) > 2 AND list_contains(asked, s))) > 0 THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END
-   + CASE WHEN NOT list_contains(kinds, source_kind) THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END) AS bonus FROM hits h JOIN asked USING (query_id) JOIN sk USING (query_id) GROUP BY ALL),
- scored AS (SELECT s.query_id, s.unit_id, f.score AS base, coalesce(f.score, 0) + bonus AS total FROM sums s LEFT JOIN fused f ON f.query_id = s.query_id AND f.unit_id = s.unit_id),
- taken AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, unit_id) <= 6)
- SELECT f.query_id, f.unit_id, round(f.score, 6) AS score, f.rank, t.unit_id IS NOT NULL AS expanded FROM fused f LEFT JOIN taken t ON t.query_id = f.query_id AND t.unit_id = f.unit_id
- UNION ALL SELECT query_id, unit_id, round(total, 6), NULL, true FROM taken WHERE base IS NULL"""
+_EXPANSION = f"{R._FUSED2}, {R.sql_expanded('fused')} SELECT query_id, unit_id, round(score, 6) AS score, rank, expanded FROM expanded"
 
 
 @query(_EXPANSION)
 def anchor_expansion_topk(spark: SparkSession, d: str) -> DataFrame:
     units = C.units(spark, d)
-    out = graph.expand(R._lexical(spark, d), C.unit_anchors(units), units, C.questions(spark, d))
+    out = graph.expand(written(R._lexical(spark, d)), C.unit_anchors(units), units, C.questions(spark, d))
     return out.select("query_id", "unit_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "expanded")
 
 
-@query(f"""{R._FUSED2}, p AS (SELECT query_id, unit_id, rank AS place, unit_id % 3 AS coverage FROM fused WHERE rank <= 30),
- s AS (SELECT p.*, locator, string_split(locator, '/') AS parts FROM p JOIN units USING (unit_id) WHERE source_kind = 'markdown'),
- f AS (SELECT *, array_to_string(list_concat(parts[:list_position(list_transform(parts, lambda v: regexp_matches(v, '^[a-z]{{2,3}}([-_][A-Za-z0-9]+)?$')), true) - 1], parts[list_position(list_transform(parts, lambda v: regexp_matches(v, '^[a-z]{{2,3}}([-_][A-Za-z0-9]+)?$')), true) + 1:]), '/') AS family FROM s),
- g AS (SELECT query_id, family, locator, max(coverage) AS coverage, min(place) AS first, bool_or(list_contains(parts, 'en')) AS lead FROM f GROUP BY ALL),
- l AS (SELECT query_id, locator FROM g QUALIFY row_number() OVER (PARTITION BY query_id, family ORDER BY coverage DESC, lead DESC, first, locator) > 1)
- SELECT query_id, unit_id, place FROM p WHERE (query_id, unit_id) NOT IN (SELECT f.query_id, f.unit_id FROM f JOIN l ON l.query_id = f.query_id AND l.locator = f.locator)""")
+@query(f"""{R._FUSED2}, p AS (SELECT query_id, unit_id, rank AS place FROM fused WHERE rank <= 30), {R.sql_covered('p', 'covered')}, {R.sql_siblings('covered', 'single')}
+ SELECT query_id, unit_id, place, coverage FROM single""")
 def locale_suppression(spark: SparkSession, d: str) -> DataFrame:
-    pool = R._lexical(spark, d).filter(F.col("rank") <= 30).select("query_id", "unit_id", F.col("rank").alias("place"), (F.col("unit_id") % 3).alias("coverage"))
-    return graph.suppress_siblings(pool, C.units(spark, d)).select("query_id", "unit_id", F.col("place").cast("long").alias("place"))
+    """The first thirty of each question without translations; the best covers most of the question's concepts."""
+    units, asked = C.units(spark, d), C.questions(spark, d).select("query_id", T.concepts(F.col("text")).alias("concepts"))
+    pool = R._lexical(spark, d).filter(F.col("rank") <= 30).select("query_id", "unit_id", F.col("rank").cast("long").alias("place"))
+    low, words = F.lower("evidence_text"), T.terms(F.col("evidence_text"))
+    held = F.filter("concepts", lambda c: T.matches(c, low, words))
+    pool = pool.join(units.select("unit_id", "evidence_text"), "unit_id").join(asked, "query_id").select("query_id", "unit_id", "place", F.size(held).cast("long").alias("coverage"))
+    return graph.suppress_siblings(written(pool), units)
 
 
 _SPANS = """ch AS (SELECT 'f' || (l_orderkey % 40) AS path, (l_partkey % 500) + 1 AS line FROM lineitem), sp AS (SELECT 'f' || (o_custkey % 40) AS path, o_orderkey % 450 AS start_line, o_orderkey % 450 + (o_custkey % 60) AS end_line, 's' || (o_orderkey % 977) AS breadcrumb FROM orders)"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.scratch import written
 from lodestone.operators import admission, graph, ranking
 
 TEXTS = ["evidence_text", "routing_text"]
@@ -23,35 +24,34 @@ def channels(units: DataFrame, questions: DataFrame, columns: list[str], exclude
     """The lexical channels: hidden memories and excluded units are gone before the limit."""
     kinds = units.select("unit_id", (F.col("source_kind") == "hindsight_memory").alias("is_memory"))
     seen = eligible(units, questions).withColumn("seen", F.lit(True))
-    out = None
-    for column in columns:
-        scored = ranking.bm25(units, questions, column, TEXTS)
-        if excluded is not None:
-            scored = scored.join(excluded.select("unit_id").distinct(), "unit_id", "left_anti")
-        scored = scored.join(kinds, "unit_id").join(seen, ["query_id", "unit_id"], "left").filter("not is_memory or seen").select("query_id", "unit_id", "score")
-        one = ranking.top(scored, top_n).withColumn("channel", F.lit(column))
-        out = one if out is None else out.unionByName(one)
-    return out
+    scored = ranking.bm25(units, questions, columns, TEXTS)
+    if excluded is not None:
+        scored = scored.join(excluded.select("unit_id").distinct(), "unit_id", "left_anti")
+    scored = scored.join(kinds, "unit_id").join(seen, ["query_id", "unit_id"], "left").filter("not is_memory or seen").select("query_id", "channel", "unit_id", "score")
+    return ranking.top(scored, top_n, by=("query_id", "channel"))
 
 
-def pool(ranked: DataFrame, units: DataFrame, anchors: DataFrame, vectors: DataFrame | None, questions: DataFrame, memories: DataFrame | None = None, hidden_but: DataFrame | None = None) -> DataFrame:
+def pool(ranked: DataFrame, units: DataFrame, anchors: DataFrame, vectors: DataFrame | None, questions: DataFrame, memories: DataFrame | None = None, hidden_but: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """The pool of each question with all that admission looks at; ``ranked``: query_id, unit_id, score, rank.
 
-    Of ``memories`` (unit_id) only those in ``hidden_but`` (query_id, unit_id) are reached. ``units`` needs commit, path, symbol and part beside the ranking's columns.
+    Of ``memories`` (unit_id) only those in ``hidden_but`` (query_id, unit_id) are reached, and none of ``excluded`` (unit_id).
+    ``units`` needs commit, path, symbol and part beside the ranking's columns.  Ranks and pool are written: both are read several times.
     """
-    order = graph.selection_order(graph.expand(ranked, anchors, units, questions, memories, hidden_but)).filter(F.col("place") <= admission.POOL)
+    ranked = written(ranked)
+    order = graph.selection_order(graph.expand(ranked, anchors, units, questions, memories, hidden_but, excluded)).filter(F.col("place") <= admission.POOL)
     asked = questions.select("query_id", T.concepts(F.col("text")).alias("concepts"), T.required_roles(T.facets(F.col("text"))).alias("required"))
     rows = order.join(units, "unit_id").join(asked, "query_id")
     low, words = F.lower("evidence_text"), T.terms(F.col("evidence_text"))
     coverage = F.size(F.filter("concepts", lambda c: T.matches(c, low, words)))
     rows = rows.withColumn("coverage", coverage).withColumn("credible", T.credible(F.col("concepts"), F.col("evidence_text"), F.col("expanded")))
+    rows = written(rows)
     kept = graph.suppress_siblings(rows.select("query_id", "unit_id", "place", "coverage"), units).select("query_id", "unit_id")
     rows = rows.join(kept, ["query_id", "unit_id"], "left_semi")
     rows = rows.join(vectors.select("unit_id", "embedding"), "unit_id", "left") if vectors is not None else rows.withColumn("embedding", F.lit(None).cast("array<double>"))
-    return rows.select(
+    return written(rows.select(
         "query_id", "unit_id", "place", "source_kind", T.role_of_kind(F.col("source_kind")).alias("role"), F.col("locator").alias("source_id"), "commit", "path", "symbol", "part",
         "content_hash", "token_count", "credible", "required", "embedding", "evidence_text", "timestamp",
-    )
+    ))
 
 
 def packets(pool_rows: DataFrame, questions: DataFrame, now: int, limits: admission.Limits = admission.Limits()) -> DataFrame:

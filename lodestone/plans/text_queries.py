@@ -26,14 +26,7 @@ _ASKED = f"""{C.SQL_QUESTIONS}, a AS (SELECT query_id, {C.sql_list(WORDS)}[query
 
 
 def _sql_facets() -> str:
-    """CTE f (query_id, facet, n) in order."""
-    tests = []
-    for k, (name, single, phrases, _) in enumerate(T.FACETS):
-        test = " OR ".join([f"len(list_intersect(tokens, {C.sql_list(single)})) > 0", *(f"contains(line, ' {p} ')" for p in phrases)])
-        tests.append(f"SELECT query_id, '{name}' AS facet, {k} AS n FROM t WHERE {test}")
-    every = " UNION ALL ".join(tests)
-    return f"""{_ASKED}, t AS (SELECT query_id, {C.sql_terms('text')} AS tokens, ' ' || array_to_string({C.sql_terms('text')}, ' ') || ' ' AS line FROM a),
- f0 AS ({every}), f AS (SELECT * FROM f0 UNION ALL SELECT query_id, 'current_behavior', 6 FROM t WHERE query_id NOT IN (SELECT query_id FROM f0))"""
+    return f"{_ASKED}, {C.sql_facets('a')}"
 
 
 @query("SELECT doc_id, greatest(CAST(ceil(length(text) / 4.0) AS BIGINT), 1) AS tokens FROM documents")
@@ -41,19 +34,19 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return C.read(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({C.sql_terms('text')}) AS term FROM documents) GROUP BY ALL")
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({C.sql_index_terms('text')}) AS term FROM documents) GROUP BY ALL")
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    return C.read(spark, d, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return C.read(spark, d, "documents").select("doc_id", F.explode(T.index_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({C.sql_terms('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({C.sql_index_terms('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return tokenize_terms(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query(f"SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms, round(avg(n), 6) AS mean, CAST(max(n) AS BIGINT) AS longest FROM (SELECT lang, len({C.sql_terms('text')}) AS n FROM documents) GROUP BY lang")
+@query(f"SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms, round(avg(n), 6) AS mean, CAST(max(n) AS BIGINT) AS longest FROM (SELECT lang, len({C.sql_index_terms('text')}) AS n FROM documents) GROUP BY lang")
 def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    n = C.read(spark, d, "documents").select("lang", F.size(T.terms(F.col("text"))).cast("long").alias("n"))
+    n = C.read(spark, d, "documents").select("lang", F.size(T.index_terms(F.col("text"))).cast("long").alias("n"))
     return n.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("terms"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("longest"))
 
 
@@ -68,10 +61,7 @@ def visibility_tiers(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("query_id", F.array_join(T.visibility(T.facets(F.col("text"))), ",").alias("tiers"))
 
 
-_ROLE_ROWS = ", ".join(f"('{name}', {k}, '{r}')" for name, _, _, roles in T.FACETS for k, r in enumerate(roles))
-
-
-@query(f"""WITH {_sql_facets()}, r(facet, k, role) AS (VALUES {_ROLE_ROWS}),
+@query(f"""WITH {_sql_facets()}, r(facet, k, role) AS (VALUES {C.ROLE_ROWS}),
  s AS (SELECT query_id, role, n, k, lag(role) OVER (PARTITION BY query_id ORDER BY n, k) AS before FROM f JOIN r USING (facet))
  SELECT query_id, string_agg(role, ',' ORDER BY n, k) AS roles FROM s WHERE before IS NULL OR before <> role GROUP BY query_id""")
 def preferred_role_lanes(spark: SparkSession, d: str) -> DataFrame:
@@ -84,9 +74,7 @@ def role_of_kind(spark: SparkSession, d: str) -> DataFrame:
     return C.units(spark, d).select("source_kind", T.role_of_kind(F.col("source_kind")).alias("role"), T.tier_of_status(F.col("status")).alias("tier")).groupBy("source_kind", "role", "tier").agg(F.count("*").alias("n"))
 
 
-_CONCEPTS = f"""{_ASKED}, w AS (SELECT query_id, w, n FROM (SELECT query_id, unnest(string_split_regex(text || ' fooBar snake_case', '\\s+')) AS w, generate_subscripts(string_split_regex(text || ' fooBar snake_case', '\\s+'), 1) AS n FROM a) WHERE w <> ''),
- c AS (SELECT query_id, lower(w) AS raw, {C.sql_terms('w')} AS pieces, regexp_matches(w, '[_.-]') OR regexp_matches(w, '\\p{{Ll}}\\p{{Lu}}') AS identifier, n FROM w WHERE lower(w) NOT IN ({", ".join(f"'{s}'" for s in T.STOPWORDS)})),
- k AS (SELECT * FROM c WHERE len(pieces) > 0 QUALIFY row_number() OVER (PARTITION BY query_id, raw ORDER BY n) = 1)"""
+_CONCEPTS = f"""{_ASKED}, odd AS (SELECT query_id, text || ' fooBar snake_case' AS text FROM a), {C.sql_concepts('odd')}"""
 
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -99,23 +87,11 @@ def query_concepts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.col("c.raw").alias("raw"), F.array_join("c.pieces", " ").alias("pieces"), F.col("c.identifier").alias("identifier"), (F.col("at") + 1).cast("long").alias("position"))
 
 
-@query(f"""WITH {_CONCEPTS}, {C.SQL_UNITS}, pairs AS (SELECT k.query_id, u.unit_id, k.identifier, count(*) OVER (PARTITION BY k.query_id, u.unit_id) AS total,
-  CASE WHEN regexp_matches(k.raw, '[^\\p{{L}}\\p{{N}}]') THEN contains(lower(u.evidence_text), k.raw) OR len(list_filter(k.pieces, lambda p: NOT list_contains({C.sql_terms('u.evidence_text')}, p))) = 0 ELSE list_contains({C.sql_terms('u.evidence_text')}, k.raw) END AS hit
-  FROM k JOIN units u ON u.unit_id % 200 = k.query_id % 200)
- SELECT query_id, unit_id, count(CASE WHEN hit THEN 1 END) AS matched, bool_or(hit AND identifier) OR count(CASE WHEN hit THEN 1 END) >= least(2, max(total)) AS credible FROM pairs GROUP BY ALL""")
-def credible_filter(spark: SparkSession, d: str) -> DataFrame:
-    units = C.units(spark, d).select("unit_id", "evidence_text", (F.col("unit_id") % 200).alias("cell"))
-    pairs = _concepts(spark, d).withColumn("cell", F.col("query_id") % 200).join(units, "cell")
-    low, words = F.lower("evidence_text"), T.terms(F.col("evidence_text"))
-    hit = F.filter("concepts", lambda c: T.matches(c, low, words))
-    return pairs.select("query_id", "unit_id", F.size(hit).cast("long").alias("matched"), T.credible(F.col("concepts"), F.col("evidence_text"), F.lit(False)).alias("credible"))
-
-
 @query(f"""WITH {_CONCEPTS}, {C.SQL_UNITS}, t AS MATERIALIZED (SELECT unit_id, lower(evidence_text) AS low, {C.sql_terms('evidence_text')} AS words FROM units),
  pairs AS (SELECT k.query_id, t.unit_id, k.identifier, count(*) OVER (PARTITION BY k.query_id, t.unit_id) AS total,
   CASE WHEN regexp_matches(k.raw, '[^\\p{{L}}\\p{{N}}]') THEN contains(low, k.raw) OR len(list_filter(k.pieces, lambda p: NOT list_contains(words, p))) = 0 ELSE list_contains(words, k.raw) END AS hit FROM k, t)
  SELECT query_id, unit_id, count(CASE WHEN hit THEN 1 END) AS matched, bool_or(hit AND identifier) OR count(CASE WHEN hit THEN 1 END) >= least(2, max(total)) AS credible FROM pairs GROUP BY ALL HAVING bool_or(hit)""")
-def credible_units(spark: SparkSession, d: str) -> DataFrame:
+def credible_filter(spark: SparkSession, d: str) -> DataFrame:
     """Every unit that holds a concept of a question, for all questions, and whether it holds enough of them."""
     units = C.units(spark, d).select("unit_id", F.lower("evidence_text").alias("low"), T.terms(F.col("evidence_text")).alias("words"))
     asked = _concepts(spark, d).select("query_id", F.size("concepts").alias("total"), F.explode("concepts").alias("c"))
@@ -251,14 +227,17 @@ def tool_result_join(spark: SparkSession, d: str) -> DataFrame:
     return sessions.outcomes(calls.unionByName(lost), results)
 
 
-@query("""WITH w AS (SELECT doc_id, lower(text) AS t FROM documents), k AS (SELECT doc_id, [contains(t,'retry')::INT + contains(t,'backoff')::INT, contains(t,'cache')::INT, contains(t,'database')::INT + contains(t,'sqlite')::INT, contains(t,'history')::INT + contains(t,'commit')::INT,
-  contains(t,'auth')::INT + contains(t,'authentication')::INT, contains(t,'token')::INT, contains(t,'session')::INT, contains(t,'markdown')::INT, contains(t,'parser')::INT, contains(t,'route')::INT] AS v FROM w)
- SELECT doc_id, CAST(list_sum(v) AS BIGINT) AS keywords, CASE WHEN list_sum(v) > 0 THEN round(list_max(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) END AS largest FROM k""")
+_HASHED = "list_transform(range(10), lambda i: CAST('0x' || substr(sha256(text), 2 * i + 1, 2) AS INTEGER) / 255.0::DOUBLE)"
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, lower(text) AS t FROM documents), k AS (SELECT doc_id, text, CAST([contains(t,'retry')::INT + contains(t,'backoff')::INT, contains(t,'cache')::INT, contains(t,'database')::INT + contains(t,'sqlite')::INT, contains(t,'history')::INT + contains(t,'commit')::INT,
+  contains(t,'auth')::INT + contains(t,'authentication')::INT, contains(t,'token')::INT, contains(t,'session')::INT, contains(t,'markdown')::INT, contains(t,'parser')::INT, contains(t,'route')::INT] AS DOUBLE[]) AS v FROM w),
+ r AS (SELECT doc_id, CASE WHEN list_sum(v) > 0 THEN v ELSE {_HASHED} END AS v FROM k)
+ SELECT doc_id, i AS dimension, round(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS value FROM r, (SELECT unnest(range(1, 11)) AS i)""")
 def mock_embedding(spark: SparkSession, d: str) -> DataFrame:
-    docs = C.read(spark, d, "documents")
-    low = F.lower("text")
-    keywords = F.aggregate(F.array(*(low.contains(w).cast("long") for w, _ in T.KEYWORDS)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return docs.select("doc_id", keywords.alias("keywords"), F.when(keywords > 0, F.round(F.array_max(T.mock_embedding(F.col("text"))), 6)).alias("largest"))
+    """The vector of every document, a row for each dimension."""
+    docs = C.read(spark, d, "documents").select("doc_id", F.posexplode(T.mock_embedding(F.col("text"))).alias("at", "value"))
+    return docs.select("doc_id", (F.col("at") + 1).cast("long").alias("dimension"), F.round("value", 6).alias("value"))
 
 
 @query("""WITH p AS (SELECT page_id, 'a/b.' || ['py','MD','txt','bin','rs','JPG','h','markdown'][page_id % 8 + 1] AS path FROM pages)

@@ -31,7 +31,7 @@ def test_bm25_against_full_text_index(spark):
     for q in ("alpha", "alpha beta", "beta beta gamma"):
         match = "evidence_text : (" + " OR ".join(f'"{w}"' for w in q.split()) + ")"
         want = db.execute("select rowid, -bm25(f) from f where f match ? order by bm25(f), rowid", (match,)).fetchall()
-        got = ranking.top(ranking.bm25(units, spark.createDataFrame([(1, q)], "query_id long, text string"), "evidence_text", ["evidence_text", "routing_text"]), 25).orderBy("rank").collect()
+        got = ranking.top(ranking.bm25(units, spark.createDataFrame([(1, q)], "query_id long, text string"), ["evidence_text"], ["evidence_text", "routing_text"]), 25).orderBy("rank").collect()
         assert [r.unit_id for r in got] == [i for i, _ in want]
         assert all(math.isclose(r.score, s, rel_tol=1e-9, abs_tol=1e-12) for r, (_, s) in zip(got, want, strict=True))
 
