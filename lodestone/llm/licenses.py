@@ -44,22 +44,51 @@ following conditions are met: Redistributions of source code must retain the abo
 and the following disclaimer."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
 provided that the above copyright notice and this permission notice appear in all copies."""
-
-#: (template, licence, text)
+_MIT_WARRANTY = """The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to
+the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright
+holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out
+of or in connection with the Software or the use or other dealings in the Software."""
+_BSD_BODY = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_WARRANTY = """This software is provided by the copyright holders and contributors "as is" and any express or implied
+warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are
+disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special,
+exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data,
+or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort
+(including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such
+damage."""
+_ISC_WARRANTY = """The software is provided "as is" and the author disclaims all warranties with regard to this software including
+all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or
+consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract,
+negligence or other tortious action, arising out of or in connection with the use or performance of this software."""
+_GPL3_COPY = "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+#: (template, licence, text): whole notices, and the parts and short forms that stand alone.
 TEMPLATES: list[tuple[str, str, str]] = [
     ("apache-header", "Apache-2.0", _APACHE),
     ("apache-short", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("bsd-2-full", "BSD-2-Clause", f"{_BSD_BODY} {_BSD_WARRANTY}"),
+    ("bsd-3-full", "BSD-3-Clause", f"{_BSD_BODY} {_BSD_NAMES} {_BSD_WARRANTY}"),
     ("bsd-head", "BSD", _BSD),
     ("cc-by-nc-short", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc-long", "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-short", "CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-long", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa-short", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("gpl3-header", "GPL-3.0", _GPL3),
+    ("gpl3-header", "GPL-3.0", f"{_GPL3} {_GPL3_COPY}"),
     ("gpl3-short", "GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("isc", "ISC", _ISC),
-    ("mit-full", "MIT", _MIT),
+    ("isc-full", "ISC", f"{_ISC} {_ISC_WARRANTY}"),
+    ("isc-grant", "ISC", _ISC),
+    ("mit-full", "MIT", f"{_MIT} {_MIT_WARRANTY}"),
+    ("mit-grant", "MIT", _MIT),
     ("mit-short", "MIT", "Released under the MIT License."),
+    ("mpl-header", "MPL-2.0", _MPL),
 ]
 
 _OTHER = "[^a-z0-9]+"
