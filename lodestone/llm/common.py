@@ -6,14 +6,15 @@ buffers with numpy; no function loops over characters.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.scratch import written  # noqa: F401
+
 #: Bytes of text that are handled at once; one longer text is handled alone.
 CHUNK_BYTES = 2 << 20
 
@@ -24,26 +25,6 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder path below spark.checkpoint.dir, which all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if root is None:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in shared scratch space: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: Column) -> Column:
     """Sixteen bytes that stand for a whole text; null and empty texts share a key."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)

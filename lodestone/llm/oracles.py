@@ -36,7 +36,7 @@ def _words(table: str, text: str, word: str, id_: str = "doc_id") -> str:
 
 
 def _url() -> str:
-    return f"""WITH u AS (SELECT page_id, url, false AS listed FROM pages UNION ALL SELECT NULL, url, true FROM ({_values([(x,) for x in queries.LISTED])}) v(url)),
+    return f"""WITH u AS (SELECT page_id, url, false AS listed FROM pages UNION ALL SELECT NULL, url, true FROM pages WHERE regexp_matches(url, '{queries.LISTED}')),
  s AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest, split_part(url, '#', 1) AS bare FROM u),
  h AS (SELECT *, CASE WHEN rest IS NULL THEN '' ELSE {_low("regexp_extract(rest, '^[^/?#]*')")} END AS host, CASE WHEN rest IS NULL THEN '' ELSE regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) END AS path,
   list_sort(list_filter(string_split(CASE WHEN instr(bare, '?') > 0 THEN substr(bare, instr(bare, '?') + 1) ELSE '' END, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))) AS pairs FROM s),

@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, fmindex, licenses, neardup, perplexity, pii, quality, sentencepieces, suffixes, urls
+from lodestone.llm.common import written
 
 RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"),
     ("block", "net", "/de/"), ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Listed URLs; each stands for its canonical form.
-LISTED = [
-    "https://www.ththwh.example.org/en/898", "http://thther.example.org/en/238?page=2", "https://theron.example.com/fr/386.html",
-    "https://ththtion.example.net/fr/915/", "https://ththed.example.org/de/852.html", "http://blog.therhe.example.net/fr/10",
-    "https://ththtion.example.net/es/970?page=2", "https://tionsh.example.org/fr/20", "http://therin.example.com/de/235.html",
-]
+#: Pages whose URL matches are listed, each under its canonical form.
+LISTED = "(?i)casino|bets|spam"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,8 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
-    return urls.judge(read(spark, sf_dir, "pages"), urls.listing(RULES, listed))
+    pages = read(spark, sf_dir, "pages")
+    # The list is a table of its own, as it would come from elsewhere; it grows with the pages.
+    listed = written(pages.filter(F.col("url").rlike(LISTED)).select("url"))
+    return urls.judge(pages, urls.listing(RULES, listed))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
