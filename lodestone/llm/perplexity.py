@@ -1,12 +1,15 @@
 """Quality classifier: interpolated modified Kneser-Ney over byte n-grams, trained on trusted text.
 
 Counts come from all trusted documents and are summed by hash-partitioned jobs.  The model is one table of
-n-grams per order with their discounted probability, and one of contexts with their back-off weight.  It is
-cut into shards by the hash of the bytes that every lookup of a position shares (the last two), each
-of a checked size; a shard is joined with the n-grams of each document in one pass, and a document's
-log-probability is the sum over shards.  Texts are in two folds by their hash, and each fold is scored by the
-model of the other, so that no document is judged by counts of itself.  A language's threshold is a
-quantile of the perplexities of all its trusted documents, plus a slack.
+n-grams with their discounted probability and, as contexts, their back-off weight.  It is cut into shards
+by the bytes that every lookup of a position shares.  The n-grams of the documents are counted by chunk and
+joined with the shards: a task holds one shard, of a bounded size, and streams the counts past it, so the
+corpus is read once for a model of any size.  The most frequent n-grams, a bounded number, are scored
+before, as heavy keys of the join.  A document's log-probability is the sum over shards.
+
+Texts are in two folds by their hash, and each fold is scored by the model of the other, so that no document is
+judged by counts of itself.  A language's threshold is a quantile of the perplexities of all its trusted
+documents, plus a slack.
 
 A language without trusted texts in both folds has no two models of its own.  All its documents are scored by
 the models of all languages together, one a fold, and so are all trusted documents once more: a language's
@@ -21,23 +24,29 @@ them trusts it; ties with the threshold are kept; extra columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm.bloom import BlockedBloom, filter_of
-from lodestone.llm.common import chunks, plain, written
+from lodestone.llm.common import chunks, mix, plain, segments, written
 
 ORDER = 5
 #: The share of a language's trusted documents that passes.
 QUANTILE = 0.99
 #: Perplexity may exceed the quantile by this factor.
 SLACK = 1.15
-#: N-grams of a shard at most, about; 24 bytes each.
-SHARD_ENTRIES = 3_000_000
+#: N-grams of a shard, about; 24 bytes each in a task's memory.
+SHARD_ENTRIES = 500_000
+#: The most frequent n-grams that are broadcast with their probabilities at most; 16 bytes each.
+HEAD_ENTRIES = 500_000
+#: Bytes of text whose n-grams are counted together.
+CHUNK = 2 << 20
 #: A byte before each text, which no UTF-8 text holds.
 START = 0xFF
 
@@ -64,7 +73,7 @@ def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, c): occurrences of each n-gram of the highest order in the trusted texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, at in chunks(batches, "text", 8 << 20):
+        for batch, buf, at in chunks(batches, "text", CHUNK):
             langs = np.array(_lang_ids(batch.column(0)))
             code, text = _codes(buf, at, order)
             for lang in np.unique(langs):
@@ -75,12 +84,11 @@ def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def model(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, n, gram, p, weight): for each n-gram its discounted probability and its back-off weight as a context.
+def model(top: DataFrame, order: int = ORDER) -> DataFrame:
+    """From written ``counts``: (lang, n, gram, p, weight): for each n-gram its discounted probability and its back-off weight as a context.
 
     A null p is an n-gram that is only a context.  Orders below the highest use continuation counts.
     """
-    top = written(counts(trusted, order))
     levels = {order: top}
     for n in range(order - 1, 0, -1):
         mask = (1 << (8 * n)) - 1
@@ -109,90 +117,232 @@ def model(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 class Scorer:
     """One shard of the model in sorted arrays."""
 
-    def __init__(self, rows: pa.Table, order: int):
+    def __init__(self, langs: list[str], lang: np.ndarray, n: np.ndarray, gram: np.ndarray, p: np.ndarray, weight: np.ndarray, order: int):
+        """Rows of n-grams: the number of their language, order, code, and p or weight (nan where there is none)."""
         self.order = order
-        self.tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        names = rows.column("lang").combine_chunks().dictionary_encode()
-        if isinstance(names, pa.ChunkedArray):
-            names = names.combine_chunks()
-        langs = np.asarray(names.indices)
-        n, gram = np.asarray(rows.column("n")), np.asarray(rows.column("gram")).view(np.uint64)
-        p, w = (np.nan_to_num(np.asarray(rows.column(c).fill_null(float("nan"))), nan=miss) for c, miss in (("p", 0.0), ("weight", 1.0)))
-        for number, lang in enumerate(names.dictionary.to_pylist()):
-            for k in range(order + 1):
-                some = np.flatnonzero((langs == number) & (n == k))
-                some = some[np.argsort(gram[some])]
-                self.tables[lang, k] = (gram[some], p[some], w[some])
-
-    def _find(self, lang: str, k: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-        g, p, w = self.tables.get((lang, k), none)
-        if not len(g):
-            return np.zeros(len(gram)), np.ones(len(gram))
-        at = np.minimum(np.searchsorted(g, gram), len(g) - 1)
-        hit = g[at] == gram
-        return np.where(hit, p[at], 0.0), np.where(hit, w[at], 1.0)
+        self.probability, self.weight = ({}, {})
+        for table, value in ((self.probability, p), (self.weight, weight)):
+            some = np.flatnonzero(~np.isnan(value))
+            some = some[np.lexsort((gram[some], n[some], lang[some]))]
+            kind = lang[some].astype(np.int64) * (order + 1) + n[some]
+            for i, j in zip(*segments(kind), strict=True):
+                table[langs[lang[some[i]]], int(n[some[i]])] = (gram[some[i:j]], value[some[i:j]])
+
+    @staticmethod
+    def _find(table: dict, key: tuple[str, int], gram: np.ndarray, miss: float) -> np.ndarray:
+        if key not in table:
+            return np.full(len(gram), miss)
+        known, value = table[key]
+        at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+        return np.where(known[at] == gram, value[at], miss)
 
     def log_probability(self, lang: str, codes: np.ndarray) -> np.ndarray:
         """Of the last byte of each code after the others."""
         prob = np.full(len(codes), 1 / 256)
         for n in range(1, self.order + 1):
             gram = codes & np.uint64((1 << (8 * n)) - 1)
-            p, _ = self._find(lang, n, gram)
-            _, w = self._find(lang, n - 1, gram >> np.uint64(8))
-            prob = p + w * prob
+            prob = self._find(self.probability, (lang, n), gram, 0.0) + self._find(self.weight, (lang, n - 1), gram >> np.uint64(8), 1.0) * prob
         return np.log2(prob)
 
 
-def perplexities(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """All columns of ``docs`` but ``text`` (with lang first), the number of bytes, and the sum of log2 probabilities.
+def _pack(grams: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
+    """Occurrences of n-grams, sorted by n-gram, in few and well compressible bytes."""
+    first, end = segments(grams)
+    sizes = (end - first).astype("<u4")
+    planes = np.ascontiguousarray(grams[first].astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    wide = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T) for x in (sizes, docs, times)]
+    return b"".join([len(first).to_bytes(4, "little"), len(docs).to_bytes(4, "little"), planes.tobytes(), *(x.tobytes() for x in wide)])
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, and of each occurrence the number of its n-gram, its document and how often."""
+    g, m = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+    flat, at, out = np.frombuffer(raw, np.uint8), 8, []
+    for width, size in ((8, g), (4, g), (4, m), (4, m)):
+        out.append(np.ascontiguousarray(flat[at : at + width * size].reshape(width, size).T).view(f"<u{width}").ravel())
+        at += width * size
+    return out[0].astype(np.uint64), np.repeat(np.arange(g), out[1]), out[2].astype(np.int64), out[3].astype(np.float64)
+
+
+def _shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of the two bytes before the last one."""
+    return (mix(pair.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+_ASKED = "slot int, chunk bigint, doc int, size bigint, value double, lang string, packed binary"
+_STORED = "slot int, lang string, n int, gram bigint, p double, weight double"
+
+
+def _dealt(table: DataFrame, shards: int) -> DataFrame:
+    """The model's rows by slot (their shard).  Every lookup of a position shares its bytes 1 and 2 but for the short
+    n-grams and contexts, of which there are at most 66 thousand a language: these go to all slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, gram = np.asarray(b.column(1)).astype(np.int64), np.asarray(b.column(2)).view(np.uint64)
+            values = [np.asarray(b.column(i).fill_null(float("nan"))) for i in (3, 4)]
+            # The row as an n-gram (looked up by bytes 1 and 2) and as a context (by its bytes 0 and 1, which are those).
+            for k, least, pair in ((0, 3, gram >> np.uint64(8)), (1, 2, gram)):
+                mine = ~np.isnan(values[k])
+                high, low = np.flatnonzero(mine & (n >= least)), np.flatnonzero(mine & (n < least))
+                row = np.concatenate((high, np.repeat(low, shards)))
+                slot = np.concatenate((_shard_of(pair[high] & np.uint64(0xFFFF), shards), np.tile(np.arange(shards), len(low))))
+                none, value = pa.nulls(len(row), pa.float64()), pa.array(values[k][row])
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), b.column(0).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(gram[row].view(np.int64)), none if k else value, value if k else none], [x.split()[0] for x in _STORED.split(", ")])
+
+    return table.select("lang", "n", "gram", "p", "weight").mapInArrow(run, _STORED)
+
 
-    ``table`` is a written model.  More than one shard means one pass each over the documents.
+def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame, order: int, shard_entries: int, head=None) -> DataFrame:
+    """All columns of ``rows`` but ``column`` (which ``codes_of`` turns into n-grams), ``size`` and ``log2``, the sum of log2 probabilities.
+
+    The n-grams of a chunk of rows are counted by row and dealt to the model's shards; a task holds one shard and
+    streams all counts past it; what the shards add to a row meets in a sum.  N-grams that ``head`` holds are scored at once.
+    """
+    spark = rows.sparkSession
+    keep = [c for c in rows.columns if c != column]
+    shards = max(-(-table.count() // shard_entries), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meta = rows.select(*keep).schema
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        known = head.value if head is not None else {}
+        names = ["slot", "chunk", "doc", "size", "value", "lang", "packed"]
+        for batch, code, text in codes_of(batches, len(keep)):
+            langs = np.array(_lang_ids(batch.column(keep.index("lang"))), dtype=object)
+            value = np.zeros(batch.num_rows)
+            found: list[tuple[int, str, bytes]] = []
+            for lang in sorted(set(langs)):
+                some = (langs == lang)[text]
+                own = text[some]
+                # Each distinct n-gram of the chunk is looked up once.
+                distinct_of, distinct = pd.factorize(code[some])
+                distinct = distinct.astype(np.uint64)
+                rest = np.ones(len(distinct), bool)
+                if lang in known:
+                    grams, logs = known[lang]
+                    at = np.minimum(np.searchsorted(grams, distinct), len(grams) - 1)
+                    rest = grams[at] != distinct
+                    value += np.bincount(own, np.where(rest, 0.0, logs[at])[distinct_of], batch.num_rows)
+                tail = np.flatnonzero(rest[distinct_of])
+                # Counts by n-gram and row.
+                rank = np.empty(len(distinct), np.int64)
+                order_of = np.argsort(distinct, kind="stable")
+                rank[order_of] = np.arange(len(distinct))
+                pair, times = np.unique(rank[distinct_of[tail]] * np.int64(batch.num_rows) + own[tail], return_counts=True)
+                gram, doc = distinct[order_of][pair // batch.num_rows], pair % batch.num_rows
+                shard = _shard_of(gram >> np.uint64(8) & np.uint64(0xFFFF), shards)
+                by = np.argsort(shard, kind="stable")
+                for i, j in zip(*segments(shard[by]), strict=True):
+                    found.append((int(shard[by[i]]), lang, _pack(gram[by[i:j]], doc[by[i:j]], times[by[i:j]])))
+            n = batch.num_rows
+            slot = mix(np.arange(n, dtype=np.uint64) + np.uint64(number)) % np.uint64(shards)
+            data = [pa.array(slot.astype(np.int32)), pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.bincount(text, minlength=n)), pa.array(value), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*data, pa.StructArray.from_arrays([batch.column(i) for i in range(len(keep))], keep)], [*names, "meta"])
+            m = len(found)
+            if m:
+                data = [pa.array([x[0] for x in found], pa.int32()), pa.array(np.full(m, number)), *(pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.float64())), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.binary())]
+                kind = pa.struct([pa.field(f, batch.column(i).type) for i, f in enumerate(keep)])
+                yield pa.RecordBatch.from_arrays([*data, pa.nulls(m, kind)], [*names, "meta"])
+            number += 1
+
+    held = f"{_ASKED}, meta {meta.simpleString()}"
+    asked = rows.select(*keep, column).mapInArrow(ask, held)
+    stored = _dealt(table, shards)
+    none = lambda x: [F.lit(None).cast(x.schema[c].dataType).alias(c) for c in x.columns]
+    both = stored.select("slot", F.lit(0).alias("tag"), *(F.col(c) for c in ("n", "gram", "p", "weight")), *(F.col(c) if c == "lang" else x for c, x in zip(asked.columns[1:], none(asked)[1:], strict=True)))
+    other = asked.select("slot", F.lit(1).alias("tag"), *none(stored.select("n", "gram", "p", "weight")), *asked.columns[1:])
+    dealt = both.union(other).repartition(shards, "slot").sortWithinPartitions("slot", "tag")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chunk", "doc", "size", "value", "meta"]
+        slot, parts, scorer = None, [], None
+        for batch in batches:
+            slots = np.asarray(batch.column(0))
+            tags = np.asarray(batch.column(1))
+            for i, j in zip(*segments(slots.astype(np.int64) * 2 + tags), strict=True):
+                part = batch.slice(i, j - i)
+                if slots[i] != slot:
+                    slot, parts, scorer = slots[i], [], None
+                if not tags[i]:
+                    parts.append(part.select(["lang", "n", "gram", "p", "weight"]))
+                    continue
+                whole = part.filter(pc.is_null(part.column("packed")))
+                if whole.num_rows:
+                    yield whole.select(names)
+                for chunk, lang, raw in zip(*(part.filter(pc.is_valid(part.column("packed"))).column(c).to_pylist() for c in ("chunk", "lang", "packed")), strict=True):
+                    if scorer is None:
+                        scorer, parts = _scorer(parts, order), []
+                    grams, number, doc, times = _unpack(raw)
+                    sums = np.bincount(doc, scorer.log_probability(lang, grams)[number] * times)
+                    touched = np.unique(doc)
+                    m = len(touched)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(touched.astype(np.int32)), pa.nulls(m, pa.int64()), pa.array(sums[touched]), pa.nulls(m, part.column("meta").type)], names)
+
+    sums = dealt.mapInArrow(answer, f"chunk bigint, doc int, size bigint, value double, meta {meta.simpleString()}").groupBy("chunk", "doc")
+    out = sums.agg(F.sum("value").alias("log2"), F.max("size").alias("size"), F.first("meta", ignorenulls=True).alias("meta"))
+    return out.select(*(F.col(f"meta.`{c}`").alias(c) for c in keep), "size", "log2")
+
+
+def _scorer(parts: list[pa.RecordBatch], order: int) -> Scorer:
+    if not parts:
+        none = np.zeros(0)
+        return Scorer([], none.astype(np.int64), none.astype(np.int64), none.astype(np.uint64), none, none, order)
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    p, weight = (np.asarray(rows.column(c).combine_chunks().fill_null(float("nan"))) for c in ("p", "weight"))
+    return Scorer(names.dictionary.to_pylist(), np.asarray(names.indices), np.asarray(rows.column("n").combine_chunks()), np.asarray(rows.column("gram").combine_chunks()).view(np.uint64), p, weight, order)
+
+
+def _head(table: DataFrame, top: DataFrame, order: int, shard_entries: int, head_entries: int):
+    """The most frequent n-grams of the highest order with their log2 probabilities, ``head_entries`` at most, broadcast; None if there are none.
+
+    They are most of all text and would be in every chunk's counts.  Only work is saved: results are the same without.
+    """
+    # Classes of counts, eight to a doubling: as many of the highest as fit.
+    level = F.floor(F.log2(F.col("c")) * 8)
+    sizes = top.groupBy(level.alias("level")).count().collect()
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > head_entries:
+            break
+        least = r["level"]
+    if least is None:
+        return None
+
+    def codes(batches: Iterator[pa.RecordBatch], at: int):
+        for b in batches:
+            yield b, np.asarray(b.column(at)).view(np.uint64), np.arange(b.num_rows)
+
+    rows = top.filter(level >= least).select("lang", "gram", F.col("gram").alias("code"))
+    known = _summed(rows, "code", codes, table, order, shard_entries).select("lang", "gram", "log2").toArrow()
+    langs = known.column("lang").combine_chunks().dictionary_encode()
+    langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+    index, gram, log2 = np.asarray(langs.indices), np.asarray(known.column("gram")).view(np.uint64), np.asarray(known.column("log2"))
+    out = {}
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        some = np.flatnonzero(index == k)
+        some = some[np.argsort(gram[some])]
+        out[lang] = (gram[some], log2[some])
+    return table.sparkSession.sparkContext.broadcast(out)
+
+
+def perplexities(docs: DataFrame, table: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES, head=None) -> DataFrame:
+    """All columns of ``docs`` but ``text`` (one of them lang), the number of bytes, and the sum of log2 probabilities.
+
+    ``table`` is a written model.
     """
-    spark = docs.sparkSession
-    shards = max(1, -(-table.count() // shard_entries))
-    keep = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
-    def part(k: int) -> DataFrame:
-        # A position looks up its last bytes and, as contexts, the bytes before: shards split by the last byte but one,
-        # which is the last of a context, so a context row belongs to the shard of its own last byte.
-        last = F.when(F.col("p").isNotNull(), F.pmod(F.shiftrightunsigned("gram", 8), F.lit(256)))
-        context = F.when(F.col("weight").isNotNull(), F.pmod("gram", F.lit(256)))
-        mine = lambda x: F.pmod(x, F.lit(shards)) == k
-        rows = table if shards == 1 else table.filter((F.col("n") <= 1) | mine(last) | mine(context))
-        return spark.sparkContext.broadcast(Scorer(rows.toArrow(), order))
-
-    def scored(k: int, shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pandas as pd
-
-            scorer = shared.value
-            for batch, buf, at in chunks(batches, "text", 4 << 20):
-                langs = np.array(_lang_ids(batch.column(batch.schema.get_field_index("lang"))), dtype=object)
-                code, text = _codes(buf, at, order)
-                total = np.zeros(batch.num_rows)
-                for lang in sorted(set(langs)):
-                    some = (langs == lang)[text]
-                    if shards > 1:
-                        some &= (code >> np.uint64(8) & np.uint64(255)) % np.uint64(shards) == k
-                    # Each distinct n-gram of the chunk is looked up once.
-                    number, distinct = pd.factorize(code[some])
-                    total += np.bincount(text[some], scorer.log_probability(lang, distinct)[number], batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.diff(at)), pa.array(total)], [*keep, "n_bytes", "log2"])
-
-        return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, n_bytes bigint, log2 double")
-
-    if shards == 1:
-        return scored(0, part(0))
-    out = None
-    for k in range(shards):
-        # One shard at a time is in memory, here and on the executors.
-        shared = part(k)
-        one = written(scored(k, shared))
-        shared.destroy()
-        out = one if out is None else out.union(one)
-    return out.groupBy(*keep, "n_bytes").agg(F.sum("log2").alias("log2"))
+
+    def codes(batches: Iterator[pa.RecordBatch], at: int):
+        for batch, buf, offsets in chunks(batches, "text", CHUNK):
+            yield batch, *_codes(buf, offsets, order)
+
+    return _summed(docs, "text", codes, table, order, shard_entries, head).withColumnRenamed("size", "n_bytes")
 
 
 def _pruned(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -210,7 +360,19 @@ def _pruned(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return docs.withColumn("_hash", F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def _thresholds(perplexity: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """(own, threshold) from (own, perplexity): the least logarithm, in steps of 1e-4, that so many perplexities reach at most, plus the slack.
+
+    Counts by step are few, however many documents there are: perplexities are below e**40.
+    """
+    step = F.least(F.ceil(F.log("perplexity") * 10_000), F.lit(400_000))
+    counts = perplexity.groupBy("own", step.alias("step")).agg(F.count("*").alias("c"))
+    by_lang = Window.partitionBy("own")
+    reached = counts.withColumn("upto", F.sum("c").over(by_lang.orderBy("step"))).withColumn("all", F.sum("c").over(by_lang))
+    return reached.filter(F.col("upto") >= F.col("all") * quantile).groupBy("own").agg(F.round(F.exp(F.min("step") / 10_000) * slack, 6).alias("threshold"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, shard_entries: int = SHARD_ENTRIES, head_entries: int = HEAD_ENTRIES) -> DataFrame:
     """doc_id, perplexity (per byte), threshold and kept for each document."""
     trusted = plain(labels, "doc_id", "quality", "toxic").filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     fold = F.pmod(F.xxhash64("text"), F.lit(2))
@@ -220,29 +382,30 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     docs = docs.withColumn("own", F.coalesce("lang", F.lit(""))).drop("lang")
     named = lambda f: F.concat(f.cast("string"), F.lit(":"), F.col("own"))
     some = _pruned(docs, trusted).join(trusted, "doc_id", "left_semi")
-    table = written(model(some.withColumn("lang", named(1 - F.col("fold"))), order))
-    names = {r.lang for r in table.filter("n = 1").select("lang").distinct().collect()}
+    top = written(counts(some.withColumn("lang", named(1 - F.col("fold"))), order))
+    names = {r.lang for r in top.select("lang").distinct().collect()}
     whole = [x[2:] for x in names if x[0] == "0" and f"1:{x[2:]}" in names]
     scoped = F.col("own").isin(whole)
     pooled = bool(names) and bool(docs.filter(~scoped).limit(1).count())
     docs = docs.select("doc_id", "own", F.when(scoped, named(F.col("fold"))).otherwise(F.col("fold").cast("string")).alias("lang"), F.lit(False).alias("extra"), "text")
     both = False
+    top = top.filter(F.substring("lang", 3, 1 << 30).isin(whole))
     if pooled:
         some = written(some)
-        rest = written(model(some.withColumn("lang", (1 - F.col("fold")).cast("string")), order))
-        both = rest.filter("n = 1").select("lang").distinct().count() == 2
-        table = written(table.filter(F.substring("lang", 3, 1 << 30).isin(whole)).union(rest))
+        rest = written(counts(some.withColumn("lang", (1 - F.col("fold")).cast("string")), order))
+        both = rest.select("lang").distinct().count() == 2
+        top = top.union(rest)
         docs = docs.union(some.select("doc_id", "own", F.col("fold").cast("string"), F.lit(True), "text"))
-    # A row number tells repeated rows apart when a document's shards are summed; one shard needs none.
-    scored = perplexities(docs, table, order, shard_entries) if table.count() <= shard_entries else perplexities(written(docs.withColumn("row", F.monotonically_increasing_id())), table, order, shard_entries)
+    table = written(model(top, order))
+    head = _head(table, top, order, shard_entries, head_entries) if head_entries else None
+    scored = perplexities(docs, table, order, shard_entries, head)
     value = F.when(F.col("n_bytes") > 0, F.round(F.pow(F.lit(2.0), -F.col("log2") / F.col("n_bytes")), 6))
     scored = written(scored.select("doc_id", "own", "extra", value.alias("perplexity")))
     # The trusted documents by the models that score the others of their language.
     known = scored.join(trusted, "doc_id", "left_semi").filter(F.col("perplexity").isNotNull() & (F.col("extra") | scoped))
-    limit = F.round(F.percentile("perplexity", F.lit(quantile)) * slack, 6)
-    by_lang = known.filter(F.col("extra") != scoped).groupBy("own").agg(limit.alias("threshold"))
-    every = known.filter("extra").agg(limit).first()[0] if both else None
+    by_lang = _thresholds(known.filter(F.col("extra") != scoped).select("own", "perplexity"), quantile, slack)
+    every = _thresholds(known.filter("extra").select(F.lit("").alias("own"), "perplexity"), quantile, slack).first() if both else None
     if not both:
         by_lang = by_lang.filter(scoped)
-    out = scored.filter("not extra").join(F.broadcast(by_lang), "own", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("inf") if every is None else every)))
+    out = scored.filter("not extra").join(F.broadcast(by_lang), "own", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("inf") if every is None else every.threshold)))
     return out.select("doc_id", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

@@ -39,19 +39,53 @@ def direct(trusted, order):
     return prob
 
 
-@pytest.mark.parametrize("entries", [10**6, 5000])
-def test_against_direct(spark, entries):
+@pytest.mark.parametrize(("entries", "head"), [(10**6, 0), (5000, 300), (500, 10**6)])
+def test_against_direct(spark, entries, head):
     texts = [t for _, t in corpus() if t][:30]
-    table = perplexity.written(perplexity.model(frame(spark, list(enumerate(texts))), 4))
+    top = perplexity.written(perplexity.counts(frame(spark, list(enumerate(texts))), 4))
+    table = perplexity.written(perplexity.model(top, 4))
     prob = direct(texts, 4)
-    asked = [*texts[:3], "something else Ü", texts[5][:40], ""]
-    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(asked)], "doc_id long, lang string, text string").repartition(3)
-    for r in perplexity.perplexities(docs, table, 4, entries).collect():
+    asked = [*texts[:3], "something else Ü", texts[5][:40], "", "zz"]
+    docs = spark.createDataFrame([(i, "en" if t != "zz" else "none", t) for i, t in enumerate(asked)], "doc_id long, lang string, text string").repartition(3)
+    known = perplexity._head(table, top, 4, entries, head) if head else None
+    assert known is None or 0 < sum(len(x[0]) for x in known.value.values()) <= head
+    got = perplexity.perplexities(docs, table, 4, entries, known).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(asked)))
+    for r in got:
         led = bytes([255]) * 3 + asked[r.doc_id].encode()
-        want = sum(math.log2(prob(led[k - 3 : k + 1])) for k in range(3, len(led)))
+        want = sum(math.log2(prob(led[k - 3 : k + 1]) if r.lang == "en" else 1 / 256) for k in range(3, len(led)))
         assert math.isclose(r.log2, want, rel_tol=1e-9, abs_tol=1e-9) and r.n_bytes == len(led) - 3
 
 
+def test_thresholds_and_verdicts_against_direct(spark):
+    docs = [(i, g, t) for i, (g, t) in enumerate(duckdb.sql("select lang, text from '/root/testdata/sf0.001/documents.parquet' where strlen(text) between 1 and 1500").fetchall())]
+    trusted = {i for i, _, _ in docs if i % 3}
+    folds = {r.doc_id: r.f for r in spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id int, text string").selectExpr("doc_id", "pmod(xxhash64(text), 2) as f").collect()}
+    models = {}
+    for i, g, t in docs:
+        if i in trusted:
+            models.setdefault((1 - folds[i], g), []).append(t)
+    assert all((f, g) in models for _, g, _ in docs for f in (0, 1))
+    models = {k: direct(v, 3) for k, v in models.items()}
+    want = {}
+    for i, g, t in docs:
+        led = bytes([255]) * 2 + t.encode()
+        prob = models[folds[i], g]
+        want[i] = round(2 ** -(sum(math.log2(prob(led[k - 2 : k + 1])) for k in range(2, len(led))) / (len(led) - 2)), 6)
+    limit = {}
+    for g in {g for _, g, _ in docs}:
+        steps = sorted(math.ceil(math.log(want[i]) * 10_000) for i, x, _ in docs if x == g and i in trusted)
+        limit[g] = math.exp(steps[math.ceil(len(steps) * 0.9) - 1] / 10_000) * 1.01
+    table = spark.createDataFrame(docs, "doc_id int, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id int, quality int, toxic int")
+    out = perplexity.classify(table, labels, order=3, quantile=0.9, slack=1.01, shard_entries=2000, head_entries=500).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        g = docs[r.doc_id][1]
+        assert abs(r.perplexity - want[r.doc_id]) < 2e-6 and abs(r.threshold - limit[g]) < 3e-4 * limit[g] and r.kept == (r.perplexity <= r.threshold)
+    assert 0 < sum(r.kept for r in out) < len(out)
+
+
 def test_separates_junk_and_keeps_clean(spark):
     d = "/root/testdata/sf0.01"
     out = perplexity.classify(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()
