@@ -45,6 +45,9 @@ SLACK = 1.15
 SHARD_ENTRIES = 500_000
 #: The most frequent n-grams that are broadcast with their probabilities at most; 16 bytes each.
 HEAD_ENTRIES = 500_000
+#: Short n-grams (two bytes or less) of all languages that are broadcast at most; more are dealt to every shard.
+SHORT_ENTRIES = 1_000_000
+_IS_SHORT = "(n <= 2 and p is not null) or (n <= 1 and weight is not null)"
 #: Bytes of text whose n-grams are counted together.
 CHUNK = 2 << 20
 #: A byte before each text, which no UTF-8 text holds.
@@ -124,7 +127,7 @@ class Scorer:
         for table, value in ((self.probability, p), (self.weight, weight)):
             some = np.flatnonzero(~np.isnan(value))
             some = some[np.lexsort((gram[some], n[some], lang[some]))]
-            kind = lang[some].astype(np.int64) * (order + 1) + n[some]
+            kind = lang[some].astype(np.int64) * 16 + n[some]
             for i, j in zip(*segments(kind), strict=True):
                 table[langs[lang[some[i]]], int(n[some[i]])] = (gram[some[i:j]], value[some[i:j]])
 
@@ -173,9 +176,17 @@ _ASKED = "slot int, chunk bigint, doc int, size bigint, value double, lang strin
 _STORED = "slot int, lang string, n int, gram bigint, p double, weight double"
 
 
-def _dealt(table: DataFrame, shards: int) -> DataFrame:
+def _short(table: DataFrame):
+    """Broadcast arrays of the short n-grams and contexts, at most 66 thousand a language; None if all languages' are too many."""
+    low = table.filter(_IS_SHORT).select("lang", "n", "gram", F.when(F.col("n") <= 2, F.col("p")).alias("p"), F.when(F.col("n") <= 1, F.col("weight")).alias("weight"))
+    if low.count() > SHORT_ENTRIES:
+        return None
+    return table.sparkSession.sparkContext.broadcast(_scorer(low.toArrow().to_batches(), 0))
+
+
+def _dealt(table: DataFrame, shards: int, short: bool) -> DataFrame:
     """The model's rows by slot (their shard).  Every lookup of a position shares its bytes 1 and 2 but for the short
-    n-grams and contexts, of which there are at most 66 thousand a language: these go to all slots."""
+    n-grams and contexts: these go to all slots if ``short``, or are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +195,7 @@ def _dealt(table: DataFrame, shards: int) -> DataFrame:
             # The row as an n-gram (looked up by bytes 1 and 2) and as a context (by its bytes 0 and 1, which are those).
             for k, least, pair in ((0, 3, gram >> np.uint64(8)), (1, 2, gram)):
                 mine = ~np.isnan(values[k])
-                high, low = np.flatnonzero(mine & (n >= least)), np.flatnonzero(mine & (n < least))
+                high, low = np.flatnonzero(mine & (n >= least)), np.flatnonzero(mine & (n < least) & short)
                 row = np.concatenate((high, np.repeat(low, shards)))
                 slot = np.concatenate((_shard_of(pair[high] & np.uint64(0xFFFF), shards), np.tile(np.arange(shards), len(low))))
                 none, value = pa.nulls(len(row), pa.float64()), pa.array(values[k][row])
@@ -251,7 +262,8 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
 
     held = f"{_ASKED}, meta {meta.simpleString()}"
     asked = rows.select(*keep, column).mapInArrow(ask, held)
-    stored = _dealt(table, shards)
+    base = _short(table)
+    stored = _dealt(table, shards, base is None)
     none = lambda x: [F.lit(None).cast(x.schema[c].dataType).alias(c) for c in x.columns]
     both = stored.select("slot", F.lit(0).alias("tag"), *(F.col(c) for c in ("n", "gram", "p", "weight")), *(F.col(c) if c == "lang" else x for c, x in zip(asked.columns[1:], none(asked)[1:], strict=True)))
     other = asked.select("slot", F.lit(1).alias("tag"), *none(stored.select("n", "gram", "p", "weight")), *asked.columns[1:])
@@ -275,7 +287,7 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
                     yield whole.select(names)
                 for chunk, lang, raw in zip(*(part.filter(pc.is_valid(part.column("packed"))).column(c).to_pylist() for c in ("chunk", "lang", "packed")), strict=True):
                     if scorer is None:
-                        scorer, parts = _scorer(parts, order), []
+                        scorer, parts = _scorer(parts, order, base.value if base is not None else None), []
                     grams, number, doc, times = _unpack(raw)
                     sums = np.bincount(doc, scorer.log_probability(lang, grams)[number] * times)
                     touched = np.unique(doc)
@@ -287,7 +299,16 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
     return out.select(*(F.col(f"meta.`{c}`").alias(c) for c in keep), "size", "log2")
 
 
-def _scorer(parts: list[pa.RecordBatch], order: int) -> Scorer:
+def _scorer(parts: list[pa.RecordBatch], order: int, base: Scorer | None = None) -> Scorer:
+    """What some rows hold, and the tables of ``base``, which are of other orders."""
+    own = _scorer_of(parts, order)
+    if base is not None:
+        own.probability |= base.probability
+        own.weight |= base.weight
+    return own
+
+
+def _scorer_of(parts: list[pa.RecordBatch], order: int) -> Scorer:
     if not parts:
         none = np.zeros(0)
         return Scorer([], none.astype(np.int64), none.astype(np.int64), none.astype(np.uint64), none, none, order)

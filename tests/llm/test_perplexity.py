@@ -39,8 +39,9 @@ def direct(trusted, order):
     return prob
 
 
-@pytest.mark.parametrize(("entries", "head"), [(10**6, 0), (5000, 300), (500, 10**6)])
-def test_against_direct(spark, entries, head):
+@pytest.mark.parametrize(("entries", "head", "short"), [(10**6, 0, 10**6), (5000, 300, 0), (500, 10**6, 10**6)])
+def test_against_direct(spark, entries, head, short, monkeypatch):
+    monkeypatch.setattr(perplexity, "SHORT_ENTRIES", short)
     texts = [t for _, t in corpus() if t][:30]
     top = perplexity.written(perplexity.counts(frame(spark, list(enumerate(texts))), 4))
     table = perplexity.written(perplexity.model(top, 4))
