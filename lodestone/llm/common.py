@@ -6,6 +6,7 @@ buffers with numpy; no function loops over characters.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scratch import written  # noqa: F401
+from lodestone.functions.scratch import discard, written  # noqa: F401
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -25,6 +26,15 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker that idles between tasks would hold it else."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_key(text: Column) -> Column:
     """Sixteen bytes that stand for a whole text; null and empty texts share a key."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)

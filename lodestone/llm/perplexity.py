@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.bloom import BlockedBloom, filter_of
-from lodestone.llm.common import chunks, mix, plain, segments, written
+from lodestone.llm.common import chunks, mix, plain, release_memory, segments, written
 
 ORDER = 5
 #: The share of a language's trusted documents that passes.
@@ -49,7 +49,7 @@ HEAD_ENTRIES = 500_000
 SHORT_ENTRIES = 1_000_000
 _IS_SHORT = "(n <= 2 and p is not null) or (n <= 1 and weight is not null)"
 #: Bytes of text whose n-grams are counted together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: A byte before each text, which no UTF-8 text holds.
 START = 0xFF
 
@@ -82,6 +82,7 @@ def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
             for lang in np.unique(langs):
                 grams, c = np.unique(code[(langs == lang)[text]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(c)], ["lang", "gram", "c"])
+        release_memory()
 
     found = trusted.select("lang", "text").mapInArrow(run, "lang string, gram bigint, c bigint")
     return found.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
@@ -216,7 +217,6 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
     meta = rows.select(*keep).schema
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
@@ -230,8 +230,7 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
                 some = (langs == lang)[text]
                 own = text[some]
                 # Each distinct n-gram of the chunk is looked up once.
-                distinct_of, distinct = pd.factorize(code[some])
-                distinct = distinct.astype(np.uint64)
+                distinct, distinct_of = np.unique(code[some], return_inverse=True)
                 rest = np.ones(len(distinct), bool)
                 if lang in known:
                     grams, logs = known[lang]
@@ -240,11 +239,8 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
                     value += np.bincount(own, np.where(rest, 0.0, logs[at])[distinct_of], batch.num_rows)
                 tail = np.flatnonzero(rest[distinct_of])
                 # Counts by n-gram and row.
-                rank = np.empty(len(distinct), np.int64)
-                order_of = np.argsort(distinct, kind="stable")
-                rank[order_of] = np.arange(len(distinct))
-                pair, times = np.unique(rank[distinct_of[tail]] * np.int64(batch.num_rows) + own[tail], return_counts=True)
-                gram, doc = distinct[order_of][pair // batch.num_rows], pair % batch.num_rows
+                pair, times = np.unique(distinct_of[tail] * np.int64(batch.num_rows) + own[tail], return_counts=True)
+                gram, doc = distinct[pair // batch.num_rows], pair % batch.num_rows
                 shard = _shard_of(gram >> np.uint64(8) & np.uint64(0xFFFF), shards)
                 by = np.argsort(shard, kind="stable")
                 for i, j in zip(*segments(shard[by]), strict=True):
@@ -259,6 +255,7 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
                 kind = pa.struct([pa.field(f, batch.column(i).type) for i, f in enumerate(keep)])
                 yield pa.RecordBatch.from_arrays([*data, pa.nulls(m, kind)], [*names, "meta"])
             number += 1
+        release_memory()
 
     held = f"{_ASKED}, meta {meta.simpleString()}"
     asked = rows.select(*keep, column).mapInArrow(ask, held)
@@ -293,6 +290,7 @@ def _summed(rows: DataFrame, column: str, codes_of: Callable, table: DataFrame,
                     touched = np.unique(doc)
                     m = len(touched)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(touched.astype(np.int32)), pa.nulls(m, pa.int64()), pa.array(sums[touched]), pa.nulls(m, part.column("meta").type)], names)
+        release_memory()
 
     sums = dealt.mapInArrow(answer, f"chunk bigint, doc int, size bigint, value double, meta {meta.simpleString()}").groupBy("chunk", "doc")
     out = sums.agg(F.sum("value").alias("log2"), F.max("size").alias("size"), F.first("meta", ignorenulls=True).alias("meta"))
