@@ -39,7 +39,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"), shorter=suffixes.SHORTER)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

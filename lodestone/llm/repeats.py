@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bloom import BlockedBloom, filter_of
-from lodestone.llm.common import RangeHash, binary_array, buffer_of, chunks, covered_runs, mix, plain, ranges, text_key, written
+from lodestone.llm.common import RangeHash, binary_array, buffer_of, chunks, covered_runs, discard, mix, plain, ranges, text_key, written
 
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
@@ -157,15 +157,9 @@ def hulls(keyed: DataFrame, mixed: DataFrame, spec: Spec, cut: Callable, schema:
     return _texts(keyed, lists).select("key", "text", "asked").mapInArrow(run, schema)
 
 
-def remove(docs: DataFrame, spec: Spec, resolve: Callable[[DataFrame, DataFrame, Spec], DataFrame], join_with: bytes | None) -> DataFrame:
-    """doc_id, n_tokens, n_removed, n_spans, kept_sha256 for each document.
-
-    ``resolve`` gets the keyed texts and the blocks of mixed cores and returns repeated windows as
-    (key, start, n).  ``join_with`` joins kept tokens; None keeps all other bytes as they are.
-    """
-    docs = plain(docs, "doc_id", "text")
-    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    cores = written(_counted(docs, spec))
+def repeated_windows(keyed: DataFrame, spec: Spec, resolve: Callable[[DataFrame, DataFrame, Spec], DataFrame]) -> DataFrame:
+    """(key, windows): the repeated windows (start, n) of each distinct text that has some, written."""
+    cores = written(_counted(keyed, spec))
     placed = written(_placed(keyed, cores, spec))
     mixed = placed.filter("mixed").drop("mixed")
     # Written, so that the join below reads plain exchanges and Spark can split a hull that many texts share.
@@ -174,6 +168,31 @@ def remove(docs: DataFrame, spec: Spec, resolve: Callable[[DataFrame, DataFrame,
     windows = windows.union(mixed.join(equal, ["core", "hull"], "left_semi").select("key", "lo", "n"))
     windows = windows.union(resolve(keyed, mixed, spec))
     lists = written(windows.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("windows")))
+    discard(cores, placed, equal)
+    return lists
+
+
+def covered(lists: DataFrame, length: int) -> DataFrame:
+    """(key, n): how many tokens the windows of each text cover."""
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def grow(acc, x):
+        start, end = x["start"].cast("long"), (x["start"] + x["n"] - 1 + length).cast("long")
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(acc["end"], start))).alias("n"))
+
+    return lists.select("key", F.aggregate(F.array_sort("windows"), zero, grow, lambda acc: acc["n"]).alias("n"))
+
+
+def remove(docs: DataFrame, spec: Spec, resolve: Callable[[DataFrame, DataFrame, Spec], DataFrame], join_with: bytes | None, also: Spec | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_removed, n_spans, kept_sha256 for each document.
+
+    ``resolve`` gets the keyed texts and the blocks of mixed cores and returns repeated windows as
+    (key, start, n).  ``join_with`` joins kept tokens; None keeps all other bytes as they are.  ``also`` adds n_shorter,
+    the tokens in repeated windows of another length, which stay in the text.
+    """
+    docs = plain(docs, "doc_id", "text")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    lists = repeated_windows(keyed, spec, resolve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -219,6 +238,9 @@ def remove(docs: DataFrame, spec: Spec, resolve: Callable[[DataFrame, DataFrame,
                 hashes = [hashlib.sha256(join_with.join(pieces[p:q])).hexdigest() for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(hashes, pa.string())], ["doc_id", "key", "n_tokens", "whole_sha"])
 
+    if also is not None:
+        cut = cut.join(covered(repeated_windows(keyed, also, resolve), also.length).withColumnRenamed("n", "n_shorter"), "key", "full_outer")
     base = keyed.select("doc_id", "key", "text").mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n_tokens bigint, whole_sha string")
     zero = F.lit(0).cast("long")
-    return base.join(cut, "key", "left").select("doc_id", "n_tokens", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
+    more = [F.coalesce("n_shorter", zero).alias("n_shorter")] if also is not None else []
+    return base.join(cut, "key", "left").select("doc_id", "n_tokens", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"), *more)

@@ -25,6 +25,8 @@ from lodestone.llm import repeats
 from lodestone.llm.common import whole_groups
 
 LENGTH = 400
+#: A passage of fifty words is shorter than that in most languages; repeats from this length on are counted beside.
+SHORTER = 250
 #: Suffixes of one run at most, and those resolved together at least.
 RUN_ROWS = 20_000
 RESOLVE_ROWS = 40_000
@@ -206,6 +208,9 @@ def resolve(keyed: DataFrame, mixed: DataFrame, spec: repeats.Spec) -> DataFrame
     return dealt.mapInArrow(merge, "key binary, start int, n int")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
-    return repeats.remove(docs, spec(length), resolve, None).withColumnRenamed("n_tokens", "n_bytes")
+def remove_repeats(docs: DataFrame, length: int = LENGTH, shorter: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document.
+
+    With ``shorter`` also n_shorter: the bytes in strings of that length that start anywhere else too; they are not removed.
+    """
+    return repeats.remove(docs, spec(length), resolve, None, None if shorter is None else spec(shorter)).withColumnRenamed("n_tokens", "n_bytes")

@@ -45,6 +45,9 @@ def test_random_passages(spark, seed):
     df = frame(spark, docs).repartition(5)
     got = [tuple(r) for r in suffixes.remove_repeats(df, 60).collect()]
     same(got, list(brute(docs, lambda t: (t or "").encode(), bytes, 60)))
+    both = suffixes.remove_repeats(df, 60, shorter=25).collect()
+    same([tuple(r)[:5] for r in both], got)
+    same([(r.doc_id, r.n_bytes, r.n_shorter) for r in both], [x[:3] for x in brute(docs, lambda t: (t or "").encode(), bytes, 25)])
     got = [tuple(r) for r in fmindex.remove_repeats(df, 12).collect()]
     same(got, [(i, n, r, h) for i, n, r, _, h in brute(docs, words, lambda x: " ".join(x).encode(), 12)])
 
