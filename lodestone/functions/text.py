@@ -165,11 +165,17 @@ def credible(found: Column, text: Column, expanded: Column) -> Column:
 
 
 def doc_family(locator: Column) -> Column:
-    """The locator of documentation without its first locale-like segment; null outside ``docs``."""
+    """The locator of documentation without its first locale-like segment; other locators are their own family."""
     parts = F.split(locator, "/", -1)
     shaped = F.transform(parts, lambda p: p.rlike("^[a-z]{2,3}([-_][A-Za-z0-9]+)?$"))
     at = F.array_position(shaped, F.lit(True))
-    return F.when(F.array_contains(parts, "docs") & (at > 0), F.array_join(F.filter(parts, lambda p, i: i + 1 != at), "/"))
+    return F.when(F.array_contains(parts, "docs") & (at > 0), F.array_join(F.filter(parts, lambda p, i: i + 1 != at), "/")).otherwise(locator)
+
+
+def term_coverage(question: Column, text: Column) -> Column:
+    """How many terms of a question, repeated ones each, a text holds anywhere."""
+    low = F.lower(text)
+    return F.size(F.filter(terms(question), lambda t: F.contains(low, t))).cast("long")
 
 
 def mentions(text: Column) -> Column:

@@ -84,15 +84,14 @@ def selection_order(expanded: DataFrame) -> DataFrame:
     return expanded.withColumn("place", F.row_number().over(order))
 
 
-def suppress_siblings(pool: DataFrame, units: DataFrame, canonical: tuple[str, ...] = ("en",)) -> DataFrame:
+def suppress_siblings(pool: DataFrame, units: DataFrame) -> DataFrame:
     """The pool without translations: of each documentation family one locator stays.
 
-    ``pool``: query_id, unit_id, place, coverage. The best is by coverage, then the canonical locale, then the first place.
+    ``pool``: query_id, unit_id, place, coverage. The best is by coverage, then the locator without a locale, then the first place.
     """
-    docs = pool.join(units.filter("source_kind = 'markdown'").select("unit_id", "locator"), "unit_id").withColumn("family", T.doc_family(F.col("locator"))).filter("family is not null")
-    lead = F.exists(F.split("locator", "/", -1), lambda p: p.isin(*canonical))
-    sources = docs.groupBy("query_id", "family", "locator").agg(F.max("coverage").alias("coverage"), F.min("place").alias("first"), F.max(lead).alias("lead"))
-    order = Window.partitionBy("query_id", "family").orderBy(F.col("coverage").desc(), F.col("lead").desc(), F.col("first"), F.col("locator"))
+    docs = pool.join(units.filter("source_kind = 'markdown'").select("unit_id", "locator"), "unit_id").withColumn("family", T.doc_family(F.col("locator")))
+    sources = docs.groupBy("query_id", "family", "locator").agg(F.max("coverage").alias("coverage"), F.min("place").alias("first"))
+    order = Window.partitionBy("query_id", "family").orderBy(F.col("coverage").desc(), (F.col("locator") == F.col("family")).desc(), F.col("first"), F.col("locator"))
     losers = sources.withColumn("nth", F.row_number().over(order)).filter("nth > 1").select("query_id", "locator")
     gone = docs.join(losers, ["query_id", "locator"], "left_semi").select("query_id", "unit_id")
     return pool.join(gone, ["query_id", "unit_id"], "left_anti")

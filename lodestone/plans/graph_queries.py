@@ -55,12 +55,11 @@ def anchor_expansion_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{R._FUSED2}, p AS (SELECT query_id, unit_id, rank AS place FROM fused WHERE rank <= 30), {R.sql_covered('p', 'covered')}, {R.sql_siblings('covered', 'single')}
  SELECT query_id, unit_id, place, coverage FROM single""")
 def locale_suppression(spark: SparkSession, d: str) -> DataFrame:
-    """The first thirty of each question without translations; the best covers most of the question's concepts."""
-    units, asked = C.units(spark, d), C.questions(spark, d).select("query_id", T.concepts(F.col("text")).alias("concepts"))
+    """The first thirty of each question without translations; the best covers most of the question's terms."""
+    units = C.units(spark, d)
     pool = R._lexical(spark, d).filter(F.col("rank") <= 30).select("query_id", "unit_id", F.col("rank").cast("long").alias("place"))
-    low, words = F.lower("evidence_text"), T.terms(F.col("evidence_text"))
-    held = F.filter("concepts", lambda c: T.matches(c, low, words))
-    pool = pool.join(units.select("unit_id", "evidence_text"), "unit_id").join(asked, "query_id").select("query_id", "unit_id", "place", F.size(held).cast("long").alias("coverage"))
+    said = F.concat("evidence_text", F.lit("\n"), "routing_text")
+    pool = pool.join(units, "unit_id").join(C.questions(spark, d), "query_id").select("query_id", "unit_id", "place", T.term_coverage(F.col("text"), said).alias("coverage"))
     return graph.suppress_siblings(written(pool), units)
 
 

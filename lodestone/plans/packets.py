@@ -13,6 +13,11 @@ TEXTS = ["evidence_text", "routing_text"]
 TOP = 25
 
 
+def clamp_tokens(asked: int | None) -> int:
+    """The token budget that a caller gets for what they ask."""
+    return admission.Limits().max_tokens if asked is None else max(100, min(32_000, asked))
+
+
 def eligible(units: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, unit_id) of curated memories that a question's tiers show; other units are always eligible."""
     tiers = questions.select("query_id", F.explode(T.visibility(T.facets(F.col("text")))).alias("tier"))
@@ -39,11 +44,11 @@ def pool(ranked: DataFrame, units: DataFrame, anchors: DataFrame, vectors: DataF
     """
     ranked = written(ranked)
     order = graph.selection_order(graph.expand(ranked, anchors, units, questions, memories, hidden_but, excluded)).filter(F.col("place") <= admission.POOL)
-    asked = questions.select("query_id", T.concepts(F.col("text")).alias("concepts"), T.required_roles(T.facets(F.col("text"))).alias("required"))
+    asked = questions.select("query_id", F.col("text").alias("question"), T.concepts(F.col("text")).alias("concepts"), T.required_roles(T.facets(F.col("text"))).alias("required"))
     rows = order.join(units, "unit_id").join(asked, "query_id")
-    low, words = F.lower("evidence_text"), T.terms(F.col("evidence_text"))
-    coverage = F.size(F.filter("concepts", lambda c: T.matches(c, low, words)))
-    rows = rows.withColumn("coverage", coverage).withColumn("credible", T.credible(F.col("concepts"), F.col("evidence_text"), F.col("expanded")))
+    # Both texts of a unit answer for it.
+    said = F.concat("evidence_text", F.lit("\n"), "routing_text")
+    rows = rows.withColumn("coverage", T.term_coverage(F.col("question"), said)).withColumn("credible", T.credible(F.col("concepts"), said, F.col("expanded")))
     rows = written(rows)
     kept = graph.suppress_siblings(rows.select("query_id", "unit_id", "place", "coverage"), units).select("query_id", "unit_id")
     rows = rows.join(kept, ["query_id", "unit_id"], "left_semi")

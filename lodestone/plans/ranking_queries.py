@@ -174,20 +174,23 @@ def sql_expanded(ranked: str) -> str:
 
 
 def sql_covered(pool: str, name: str) -> str:
-    """CTEs that end in ``name``: ``pool`` (query_id, unit_id, ...) with coverage, the number of concepts, and whether an identifier is held."""
-    return f"""{C.sql_concepts('q')}, {name}_h AS (SELECT p.query_id, p.unit_id, k.identifier,
-   CASE WHEN regexp_matches(k.raw, '[^\\p{{L}}\\p{{N}}]') THEN contains(lower(evidence_text), k.raw) OR len(list_filter(k.pieces, lambda x: NOT list_contains({C.sql_terms('evidence_text')}, x))) = 0 ELSE list_contains({C.sql_terms('evidence_text')}, k.raw) END AS hit
-  FROM {pool} p JOIN units USING (unit_id) JOIN k ON k.query_id = p.query_id),
- {name}_c AS (SELECT query_id, unit_id, count(CASE WHEN hit THEN 1 END) AS coverage, count(*) AS n_concepts, bool_or(hit AND identifier) AS named FROM {name}_h GROUP BY ALL),
- {name} AS (SELECT p.*, coalesce(coverage, 0) AS coverage, coalesce(n_concepts, 0) AS n_concepts, coalesce(named, false) AS named FROM {pool} p LEFT JOIN {name}_c c ON c.query_id = p.query_id AND c.unit_id = p.unit_id)"""
+    """CTEs that end in ``name``: ``pool`` (query_id, unit_id, ...) with coverage, the concepts that match and all, and whether an identifier is held."""
+    said = "evidence_text || chr(10) || routing_text"
+    return f"""{C.sql_concepts('q')}, {name}_u AS (SELECT p.query_id, p.unit_id, lower({said}) AS low, {C.sql_terms(said)} AS said FROM {pool} p JOIN units USING (unit_id)),
+ {name}_h AS (SELECT u.query_id, u.unit_id, k.identifier,
+   CASE WHEN regexp_matches(k.raw, '[^\\p{{L}}\\p{{N}}]') THEN contains(low, k.raw) OR len(list_filter(k.pieces, lambda x: NOT list_contains(said, x))) = 0 ELSE list_contains(said, k.raw) END AS hit
+  FROM {name}_u u JOIN k ON k.query_id = u.query_id),
+ {name}_c AS (SELECT query_id, unit_id, count(CASE WHEN hit THEN 1 END) AS matched, count(*) AS n_concepts, bool_or(hit AND identifier) AS named FROM {name}_h GROUP BY ALL),
+ {name}_t AS (SELECT u.query_id, u.unit_id, len(list_filter({C.sql_terms('q.text')}, lambda t: contains(low, t))) AS coverage FROM {name}_u u JOIN q USING (query_id)),
+ {name} AS (SELECT p.*, t.coverage, coalesce(matched, 0) AS matched, coalesce(n_concepts, 0) AS n_concepts, coalesce(named, false) AS named FROM {pool} p JOIN {name}_t t ON t.query_id = p.query_id AND t.unit_id = p.unit_id LEFT JOIN {name}_c c ON c.query_id = p.query_id AND c.unit_id = p.unit_id)"""
 
 
 def sql_siblings(pool: str, name: str) -> str:
     """CTEs that end in ``name``: ``pool`` (query_id, unit_id, place, coverage, ...) without translations of what it holds."""
     shaped = "list_position(list_transform(parts, lambda v: regexp_matches(v, '^[a-z]{2,3}([-_][A-Za-z0-9]+)?$')), true)"
     return f"""{name}_s AS (SELECT p.query_id, p.unit_id, place, coverage, locator, string_split(locator, '/') AS parts FROM {pool} p JOIN units USING (unit_id) WHERE units.source_kind = 'markdown'),
- {name}_f AS (SELECT *, array_to_string(list_concat(parts[:{shaped} - 1], parts[{shaped} + 1:]), '/') AS family FROM {name}_s),
- {name}_g AS (SELECT query_id, family, locator, max(coverage) AS coverage, min(place) AS first, bool_or(list_contains(parts, 'en')) AS lead FROM {name}_f GROUP BY ALL),
+ {name}_f AS (SELECT *, CASE WHEN list_contains(parts, 'docs') AND {shaped} > 0 THEN array_to_string(list_concat(parts[:{shaped} - 1], parts[{shaped} + 1:]), '/') ELSE locator END AS family FROM {name}_s),
+ {name}_g AS (SELECT query_id, family, locator, max(coverage) AS coverage, min(place) AS first, locator = family AS lead FROM {name}_f GROUP BY ALL),
  {name}_l AS (SELECT query_id, locator FROM {name}_g QUALIFY row_number() OVER (PARTITION BY query_id, family ORDER BY coverage DESC, lead DESC, first, locator) > 1),
  {name} AS (SELECT * FROM {pool} WHERE (query_id, unit_id) NOT IN (SELECT f.query_id, f.unit_id FROM {name}_f f JOIN {name}_l l ON l.query_id = f.query_id AND l.locator = f.locator))"""
 
@@ -199,7 +202,7 @@ _ADMITTED = f"""{_PRIORS.replace('WITH units', 'WITH RECURSIVE units')}, {sql_ex
  {sql_covered('placed', 'covered')}, {sql_siblings('covered', 'single')},
  pool AS MATERIALIZED (SELECT s.query_id, s.unit_id, s.place, u.source_kind, u.locator AS source_id, CASE WHEN u.source_kind = 'git_commit' THEN 'c' || (u.unit_id // 10) END AS commit, u.content_hash, u.token_count,
    CASE u.source_kind WHEN 'code' THEN 'current_truth' WHEN 'git_commit' THEN 'change_origin' WHEN 'agent_session' THEN 'prior_work' WHEN 'hindsight_memory' THEN 'curated_memory' ELSE 'design_rationale' END AS role,
-   expanded OR named OR coverage >= least(2, n_concepts) AS credible, CAST(e.embedding AS DOUBLE[]) AS v FROM single s JOIN units u USING (unit_id) LEFT JOIN embeddings e ON e.vec_id = s.unit_id),
+   expanded OR named OR matched >= least(2, n_concepts) AS credible, CAST(e.embedding AS DOUBLE[]) AS v FROM single s JOIN units u USING (unit_id) LEFT JOIN embeddings e ON e.vec_id = s.unit_id),
  near AS (SELECT a.query_id, a.unit_id, list(b.unit_id) AS twins FROM pool a JOIN pool b ON b.query_id = a.query_id AND b.role = a.role AND b.unit_id <> a.unit_id WHERE list_cosine_similarity(a.v, b.v) > {admission.NEAR_DUPLICATE} GROUP BY ALL),
  {C.sql_facets('q')}, wanted AS (SELECT query_id, role, row_number() OVER (PARTITION BY query_id ORDER BY n, k) AS turn FROM (SELECT query_id, role, n, k, lag(role) OVER (PARTITION BY query_id ORDER BY n, k) AS before FROM f JOIN (VALUES {C.ROLE_ROWS}) r(facet, k, role) USING (facet)) WHERE before IS NULL OR before <> role),
  tries AS (SELECT w.query_id, 0 AS lane, w.turn, p.unit_id, p.place FROM wanted w JOIN pool p ON p.query_id = w.query_id AND p.role = w.role

@@ -87,13 +87,14 @@ def query_concepts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.col("c.raw").alias("raw"), F.array_join("c.pieces", " ").alias("pieces"), F.col("c.identifier").alias("identifier"), (F.col("at") + 1).cast("long").alias("position"))
 
 
-@query(f"""WITH {_CONCEPTS}, {C.SQL_UNITS}, t AS MATERIALIZED (SELECT unit_id, lower(evidence_text) AS low, {C.sql_terms('evidence_text')} AS words FROM units),
+@query(f"""WITH {_CONCEPTS}, {C.SQL_UNITS}, t AS MATERIALIZED (SELECT unit_id, lower(evidence_text || chr(10) || routing_text) AS low, {C.sql_terms('evidence_text || chr(10) || routing_text')} AS words FROM units),
  pairs AS (SELECT k.query_id, t.unit_id, k.identifier, count(*) OVER (PARTITION BY k.query_id, t.unit_id) AS total,
   CASE WHEN regexp_matches(k.raw, '[^\\p{{L}}\\p{{N}}]') THEN contains(low, k.raw) OR len(list_filter(k.pieces, lambda p: NOT list_contains(words, p))) = 0 ELSE list_contains(words, k.raw) END AS hit FROM k, t)
  SELECT query_id, unit_id, count(CASE WHEN hit THEN 1 END) AS matched, bool_or(hit AND identifier) OR count(CASE WHEN hit THEN 1 END) >= least(2, max(total)) AS credible FROM pairs GROUP BY ALL HAVING bool_or(hit)""")
 def credible_filter(spark: SparkSession, d: str) -> DataFrame:
     """Every unit that holds a concept of a question, for all questions, and whether it holds enough of them."""
-    units = C.units(spark, d).select("unit_id", F.lower("evidence_text").alias("low"), T.terms(F.col("evidence_text")).alias("words"))
+    said = F.concat("evidence_text", F.lit("\n"), "routing_text")
+    units = C.units(spark, d).select("unit_id", F.lower(said).alias("low"), T.terms(said).alias("words"))
     asked = _concepts(spark, d).select("query_id", F.size("concepts").alias("total"), F.explode("concepts").alias("c"))
     compound = F.col("c.raw").rlike(r"[^\p{L}\p{N}]")
     words = units.select("unit_id", F.explode(F.array_distinct("words")).alias("raw"))
@@ -105,7 +106,7 @@ def credible_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {C.SQL_UNITS}, p AS (SELECT unit_id, locator, string_split(locator, '/') AS s FROM units), x AS (SELECT unit_id, locator, s, list_position(list_transform(s, lambda v: regexp_matches(v, '^[a-z]{{2,3}}([-_][A-Za-z0-9]+)?$')), true) AS pos FROM p)
- SELECT unit_id, locator, CASE WHEN list_contains(s, 'docs') AND pos > 0 THEN array_to_string(list_concat(s[:pos - 1], s[pos + 1:]), '/') END AS family FROM x""")
+ SELECT unit_id, locator, CASE WHEN list_contains(s, 'docs') AND pos > 0 THEN array_to_string(list_concat(s[:pos - 1], s[pos + 1:]), '/') ELSE locator END AS family FROM x""")
 def locale_family(spark: SparkSession, d: str) -> DataFrame:
     return C.units(spark, d).select("unit_id", "locator", T.doc_family(F.col("locator")).alias("family"))
 

@@ -46,21 +46,32 @@ def _unlisted(top: Path) -> list[str]:
     return out
 
 
+def skipped(spark: SparkSession, root: str) -> DataFrame:
+    """(locator, reason) of the sources that ``scan`` had to leave out: too large, or no UTF-8."""
+    return _judged(spark, root).filter("reason is not null").select("locator", "reason")
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(locator, source_kind, text, content_hash, modified_at) of every source below ``root``.
 
     Ignored, hidden and oversized files are left out, but Markdown counts even if it is ignored or hidden, and
     the ledger of curated memories always counts. What is no valid UTF-8 is skipped, and so are views that
-    were generated from a ledger that is itself present.
+    were generated from a ledger that is itself present. Files that vanish while they are read are left out.
     """
+    rows = _judged(spark, root).filter("reason is null")
+    return rows.select("locator", "source_kind", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("content_hash"), "modified_at")
+
+
+def _judged(spark: SparkSession, root: str) -> DataFrame:
+    """Every source with its content and why it is skipped, if it is."""
     top = repository_root(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{top}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(f"file://{top}")
     locator = F.expr(f"substr(regexp_replace(path, '^file:/+', '/'), {len(str(top)) + 2})")
     if hidden := _unlisted(top):
-        files = files.unionByName(spark.read.format("binaryFile").load(hidden))
+        files = files.unionByName(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(hidden))
     rows = files.select(locator.alias("locator"), "content", "length", F.unix_timestamp("modificationTime").alias("modified_at"))
     parts = F.split("locator", "/", -1)
-    rows = rows.filter((F.col("length") <= MAX_BYTES) & ~F.exists(parts, lambda p: p.isin(SKIPPED_DIRS)))
+    rows = rows.filter(~F.exists(parts, lambda p: p.isin(SKIPPED_DIRS)))
     rows = rows.withColumn("source_kind", F.when(F.col("locator") == LEDGER, "hindsight_memory").otherwise(T.source_kind(F.col("locator")))).filter("source_kind is not null")
     always = F.col("source_kind").isin("markdown", "hindsight_memory")
     visible = _visible(top)
@@ -69,7 +80,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
         known = spark.createDataFrame([(v,) for v in visible], "locator string")
         rows = rows.filter(always).unionByName(rows.filter(~always).join(known, "locator", "left_semi"))
     rows = rows.filter(always | ~F.exists(parts, lambda p: p.startswith(".")))
-    rows = rows.filter(F.expr("is_valid_utf8(content)")).withColumn("text", F.col("content").cast("string"))
+    rows = rows.withColumn("reason", F.when(F.col("length") > MAX_BYTES, "size").when(~F.expr("is_valid_utf8(content)"), "encoding"))
     if (top / LEDGER).exists():
         rows = rows.filter((F.col("locator") == LEDGER) | ~F.col("locator").startswith(".agents/curation/"))
-    return rows.select("locator", "source_kind", "text", F.sha2("content", 256).alias("content_hash"), "modified_at")
+    return rows.select("locator", "source_kind", "content", "modified_at", "reason")

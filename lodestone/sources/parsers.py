@@ -262,7 +262,7 @@ def parse_code(text: str, locator: str) -> list[Atom]:
         spans = []
         for i, line in enumerate(lines):
             for pattern, kind in rules:
-                if len(line) < 2000 and (m := pattern.match(line)):
+                if m := pattern.match(line):
                     groups = m.groupdict()
                     name = f"{groups['r']}.{groups['n']}" if groups.get("r") else groups["n"]
                     spans.append((kind, name.strip(), i, i if kind in ("import", "declaration") and lang not in ("godot",) else _block_end(lines, i, lang)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-from lodestone.operators import sessions
+from lodestone.operators import chunking, sessions
 
 MAX_BYTES = 32 << 20
 _ITEM = "struct<type:string,id:string,text:string,name:string,arguments:string,toolCallId:string,toolName:string>"
@@ -71,6 +71,60 @@ def indexed_logs(index: str, root: str) -> list[str]:
     return [str(p) for p in found if p.is_relative_to(base) and p.exists()]
 
 
+def discover(home: str, root: str) -> list[str]:
+    """Paths of the session logs of a repository: the folder is named by its path, but the header's cwd decides.
+
+    Different paths can share a folder's name, so a log whose cwd is not this root is foreign; ``read_messages`` drops it.
+    """
+    folder = Path(home) / ("--" + root.strip("/").replace("/", "-").replace(":", "-") + "--")
+    return sorted(f"file://{p}" for p in folder.glob("*.jsonl") if p.is_file() and p.stat().st_size <= MAX_BYTES) if folder.is_dir() else []
+
+
+def run_units(events: DataFrame) -> DataFrame:
+    """Units of finished runs of read_events: prompt, answers, and tool calls with their outcomes, the newest 200 of a session."""
+    json = lambda path: F.get_json_object("event", path)
+    rows = events.filter("run_id is not null").select(
+        "session", "run_id", "sequence", "kind", json("$.prompt").alias("prompt"), json("$.text").alias("text"), json("$.model").alias("model"), json("$.call_id").alias("call_id"), json("$.name").alias("name"), json("$.arguments").alias("arguments"), json("$.result").alias("result"),
+        F.from_json(json("$.usage"), "map<string,bigint>").alias("usage"),
+    )
+    whole = sessions.runs(rows.select("session", "run_id", "sequence", "kind", "model", "usage")).select("session", "run_id", "start", "model")
+    calls = rows.filter("kind = 'tool_call'")
+    outcome = sessions.outcomes(calls.select("session", "call_id", "name"), rows.filter("kind = 'tool_result'").select("session", "call_id", F.col("sequence").alias("line_no"), F.col("result").alias("text")))
+    told = calls.join(outcome.select("session", "call_id", "outcome"), ["session", "call_id"], "left")
+    lines = rows.filter("kind = 'started'").select("session", "run_id", "sequence", F.concat(F.lit("User: "), "prompt").alias("line"))
+    lines = lines.unionByName(rows.filter("kind = 'model_completed' and text is not null").select("session", "run_id", "sequence", F.concat(F.lit("Assistant: "), "text").alias("line")))
+    lines = lines.unionByName(told.select("session", "run_id", "sequence", F.concat(F.lit("Tool: "), tool_reference(F.col("name"), F.col("arguments")), F.lit(" -> "), F.coalesce("outcome", F.lit("unknown"))).alias("line")))
+    # A run without a prompt is none.
+    prompted = rows.filter("kind = 'started' and trim(coalesce(prompt, '')) <> ''").select("session", "run_id").distinct()
+    bodies = lines.filter("line is not null").groupBy("session", "run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    newest = Window.partitionBy("session").orderBy(F.col("start").desc(), "run_id")
+    rows = whole.join(prompted, ["session", "run_id"], "left_semi").join(bodies, ["session", "run_id"]).withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= sessions.NEWEST)
+    name = F.regexp_extract("session", "([^/]+?)([.]jsonl)?$", 1)
+    rows = rows.withColumn("locator", F.concat(F.lit("events:"), name)).withColumn("session", name)
+    crumb = F.concat("locator", F.lit(" > run "), "run_id")
+    routing = F.concat_ws("\n", F.lit("source: agent_run"), F.concat(F.lit("session: "), "session"), F.concat(F.lit("model: "), "model"))
+    return _split(rows.select("locator", "session", "start", crumb.alias("crumb"), "body", routing.alias("routing_text")), "start")
+
+
+def _split(rows: DataFrame, order: str) -> DataFrame:
+    """Units of (locator, session, crumb, body, routing_text): a body that is too long with its crumb in pieces, numbered over the source."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(crumb, body):
+        import pandas as pd
+
+        whole = lambda c, b: chunking.MAX_TOKENS >= max(1, -(-(len(c) + 2 + len(b)) // 4))
+        room = lambda c: max(1, chunking.MAX_TOKENS * 4 - len(c) - 18)
+        return pd.Series([[b] if whole(c, b) else [p for p, _, _ in chunking.split_oversized(b, room(c))] for c, b in zip(crumb, body, strict=True)])
+
+    cut = rows.withColumn("pieces", pieces("crumb", "body")).select("*", F.posexplode("pieces").alias("part", "piece"))
+    many = F.when(F.size("pieces") > 1, F.concat(F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise("")
+    evidence = F.concat("crumb", many, F.lit("\n\n"), "piece")
+    ordinal = F.row_number().over(Window.partitionBy("locator").orderBy(order, "part")).cast("long")
+    out = cut.select("locator", "session", ordinal.alias("ordinal"), F.lit("episode").alias("kind"), evidence.alias("evidence_text"), "routing_text")
+    return out.withColumns({"token_count": T.estimate_tokens(F.col("evidence_text")), "content_hash": T.content_hash(F.col("locator"), F.col("evidence_text"), F.col("routing_text"))})
+
+
 def tool_reference(name, arguments):
     """What a tool call is about: a path for file tools, the first line of a command, else the tool's name."""
     get = lambda *keys: F.coalesce(*(F.get_json_object(arguments, f"$.{k}") for k in keys))
@@ -127,9 +181,9 @@ def episode_units(messages: DataFrame) -> DataFrame:
     turns = spoken.unionByName(told).withColumn("line_no", F.row_number().over(order))
     units = sessions.episode_units(turns)
     locator = F.concat(F.lit("session:"), F.col("session"))
-    evidence = F.concat(locator, F.lit(" > episode "), F.col("episode").cast("string"), F.lit("\n\n"), F.col("body"))
+    crumb = F.concat(locator, F.lit(" > episode "), F.col("episode").cast("string"))
     routing = F.concat(F.lit("source: agent_episode\nsession: "), F.col("session"), F.lit("\nepisode: "), F.col("episode").cast("string"), F.lit("\n"))
-    return units.select(locator.alias("locator"), "session", "episode", F.lit("episode").alias("kind"), evidence.alias("evidence_text"), routing.alias("routing_text"), T.estimate_tokens(evidence).alias("token_count"), T.content_hash(locator, evidence, routing).alias("content_hash"))
+    return _split(units.select(locator.alias("locator"), "session", "episode", crumb.alias("crumb"), "body", routing.alias("routing_text")), "episode")
 
 
 def dumps(rows: list[dict]) -> str:

@@ -71,7 +71,13 @@ def test_admission_caps(spark):
 def test_locale_siblings(spark):
     units = spark.createDataFrame([(i, "markdown", f"docs/{x}/docs/tutorial/first-steps.md") for i, x in enumerate(["ja", "en", "zh", "zh-hant"])] + [(9, "markdown", "README.md")], "unit_id long, source_kind string, locator string")
     pool = spark.createDataFrame([(1, i, p, 1) for p, i in enumerate([0, 1, 2, 3, 9])], "query_id long, unit_id long, place int, coverage int")
-    assert sorted(r.unit_id for r in graph.suppress_siblings(pool, units).collect()) == [1, 9]
+    # No language is preferred: of equal coverage the first place stays, but for a locator without a locale.
+    assert sorted(r.unit_id for r in graph.suppress_siblings(pool, units).collect()) == [0, 9]
+    canonical = spark.createDataFrame([(5, "markdown", "docs/docs/tutorial/first-steps.md")], units.schema)
+    more = pool.union(spark.createDataFrame([(1, 5, 6, 1)], pool.schema))
+    assert sorted(r.unit_id for r in graph.suppress_siblings(more, units.union(canonical)).collect()) == [5, 9]
+    best = more.union(spark.createDataFrame([(2, 5, 1, 1), (2, 3, 2, 2)], pool.schema))
+    assert sorted(r.unit_id for r in graph.suppress_siblings(best, units.union(canonical)).filter("query_id = 2").collect()) == [3]
 
 
 def test_times(spark):
@@ -143,14 +149,17 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"locator": "a", "text": "one\\n\\ntwo"}\n')
     refresh.refresh_units(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
-    (tmp_path / "in/2.json").write_text('{"locator": "a", "text": "three"}\n{"locator": "b", "text": "four"}\n')
+    (tmp_path / "in/2.json").write_text('{"locator": "a", "text": "zero", "version": 1}\n{"locator": "a", "text": "three", "version": 2}\n{"locator": "b", "text": "four"}\n')
     refresh.refresh_units(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.evidence_text for r in refresh.current_units(spark, str(tmp_path / "store")).collect()) == ["four", "three"]
     seen = []
     (tmp_path / "log").mkdir()
     (tmp_path / "log/1.json").write_text('{"session": "s", "line_no": 1, "type": "message", "text": "a"}\n{"session": "s", "line_no": 2, "type": "compaction"}\n{"session": "s", "line_no": 3, "type": "message", "text": "b"}\n')
     refresh.sealed_turns(spark, str(tmp_path / "log"), str(tmp_path / "cp2"), lambda df: seen.append(df.count()), str(tmp_path / "h")).awaitTermination()
-    assert seen == [2]
+    # The next batch reads its own sessions only: s is sealed further on, t not at all.
+    (tmp_path / "log/2.json").write_text('{"session": "s", "line_no": 4, "type": "compaction"}\n{"session": "t", "line_no": 1, "type": "message", "text": "c"}\n')
+    refresh.sealed_turns(spark, str(tmp_path / "log"), str(tmp_path / "cp2"), lambda df: seen.append(df.count()), str(tmp_path / "h")).awaitTermination()
+    assert seen == [2, 4]
 
 
 def test_names_of_no_other_part_in_the_library():
