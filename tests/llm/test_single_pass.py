@@ -77,6 +77,27 @@ def test_pii_added_kinds_and_masking(spark):
     assert pii.detect(frame(spark, [(1, text)])).first().spans[0].kind == "email"
 
 
+def test_pii_spans_of_all_kinds_by_place(spark):
+    far = "and nothing that tells what this is stands anywhere near "
+    parts = [("", "Mail "), ("email", "a@b.co"), ("", ", ssn "), ("ssn", "123-45-6789"), ("", f"; {far}"), ("", "123-45-6780"), ("", f" {far}IBAN "), ("iban", "GB82 WEST 1234 5698 7654 32"), ("", " "), ("iban", "DE89370400440532013000"),
+             ("", f" {far}"), ("iban", "NL91ABNA0417164300"), ("", f" {far}XX00ABCD1234567890123 {far}"), ("card", "4539 1488 0343 6467"), ("", f" {far}"), ("ip", "10.0.0.255"), ("", " or 10.0.0.256, call "), ("phone", "+49 30 123456"), ("", " é "), ("ssn", "987-65-4321"), ("", " social security.")]
+    text, want = "", []
+    for kind, piece in parts:
+        if kind:
+            want.append((kind, len(text), len(text) + len(piece)))
+        text += piece
+    # By kind, then by place.
+    order = {k: n for n, k in enumerate(pii.KINDS)}
+    joined = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(want, key=lambda x: (order[x[0]], x[1])))
+    docs = [(1, text), (2, text + "\n" + text), (3, None), (4, "")]
+    got = {r.doc_id: r for r in pii.digest(frame(spark, docs)).collect()}
+    assert got[1].spans == joined and got[3].spans == got[4].spans == "" and got[2].spans.count(":") == 2 * joined.count(":")
+    base = ",".join(x for x in joined.split(",") if x.split(":")[0] in pii.BASE_KINDS)
+    assert got[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[1].n_email == got[1].n_ip == got[1].n_card == got[1].n_phone == 1
+    assert pii.digest(spark.createDataFrame([], DOCS)).count() == 0 and pii.redact(spark.createDataFrame([], DOCS)).count() == 0
+    assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def brute_hits(docs, items):
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     windows = defaultdict(set)
