@@ -39,3 +39,19 @@ def test_every_stage_but_the_last_keeps_the_columns(spark):
             assert [(c, t) for c, t in out.dtypes] == docs.dtypes
             docs = out
     assert duckdb.sql(f"select count(*) from '{d}/documents.parquet'").fetchall()[0][0] > out.count() > 0
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    text = " ".join(f"Word{k} thing{'.' if k % 9 == 8 else ''}" for k in range(60)) + "."
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, text + " More."), (5, text.replace("thing", "fact"))]
+    cases = {"none": [], "odd": rows}
+    for name, docs in cases.items():
+        d = f"{tmp_path}/{name}"
+        df = spark.createDataFrame([(i, t, "en", "s", 1, "x", 2) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, ids string, `row` int")
+        df.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert out.columns == ["doc_id", "lang", "source", "n_chars", "row", "ids", "round_trip"]
+        got = sorted(str(r.doc_id) for r in out.collect())
+        assert got == ([] if name == "none" else ["1", "5", "None"])
+        assert all(r.round_trip and r.row == 2 and r.n_chars > 100 for r in out.collect())
