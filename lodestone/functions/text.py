@@ -53,6 +53,11 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.ceil(F.char_length(text) / F.lit(4)).cast("long"), F.lit(1).cast("long"))
 
 
+def split_terms(low: Column) -> Column:
+    """The terms of a lower-cased text, with an empty string where it begins or ends with another sign."""
+    return F.split(low, _NOT_ALNUM, -1)
+
+
 def terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), _NOT_ALNUM, -1), lambda t: t != "")
@@ -149,11 +154,16 @@ def concepts(text: Column) -> Column:
     return F.filter(items, lambda c, i: F.array_position(firsts, c["raw"]) == i + 1)
 
 
+def compound(raw: Column) -> Column:
+    """Whether a concept has other signs than letters and digits."""
+    return raw.rlike(_NOT_ALNUM)
+
+
 def matches(concept: Column, text: Column, words: Column) -> Column:
     """Whether a unit's lower-cased text (with its words) holds a concept."""
     whole = F.array_contains(words, concept["raw"])
     parts = F.contains(text, concept["raw"]) | F.forall(concept["pieces"], lambda p: F.array_contains(words, p))
-    return F.when(concept["raw"].rlike(_NOT_ALNUM), parts).otherwise(whole)
+    return F.when(compound(concept["raw"]), parts).otherwise(whole)
 
 
 def credible(found: Column, text: Column, expanded: Column) -> Column:

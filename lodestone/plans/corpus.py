@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.scratch import small
 
 KINDS = ["code", "markdown", "git_commit", "agent_session", "hindsight_memory"]
 CONFIDENCES = ["authoritative", "strong", "supported", "inferred", "unknown"]
@@ -21,7 +22,7 @@ def pick(values: list[str], n) -> F.Column:
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    docs, labels = read(spark, d, "documents"), small(read(spark, d, "labels").select("doc_id", "toxic", "quality"))
     i = F.col("doc_id")
     locator = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/guide/"), F.col("source"), F.lit("/"), (i % 8).cast("string"), F.lit(".md"))
     status = F.when(F.col("toxic") == 1, "conflicted").when(F.col("quality") == 0, "superseded").otherwise("active")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunking, sessions
+from lodestone.operators import chunking, concepts, sessions
 from lodestone.plans import corpus as C
 from lodestone.plans.registry import QueryTable, registrar
 
@@ -93,16 +93,8 @@ def query_concepts(spark: SparkSession, d: str) -> DataFrame:
  SELECT query_id, unit_id, count(CASE WHEN hit THEN 1 END) AS matched, bool_or(hit AND identifier) OR count(CASE WHEN hit THEN 1 END) >= least(2, max(total)) AS credible FROM pairs GROUP BY ALL HAVING bool_or(hit)""")
 def credible_filter(spark: SparkSession, d: str) -> DataFrame:
     """Every unit that holds a concept of a question, for all questions, and whether it holds enough of them."""
-    said = F.concat("evidence_text", F.lit("\n"), "routing_text")
-    units = C.units(spark, d).select("unit_id", F.lower(said).alias("low"), T.terms(said).alias("words"))
-    asked = _concepts(spark, d).select("query_id", F.size("concepts").alias("total"), F.explode("concepts").alias("c"))
-    compound = F.col("c.raw").rlike(r"[^\p{L}\p{N}]")
-    words = units.select("unit_id", F.explode(F.array_distinct("words")).alias("raw"))
-    parts = asked.filter(compound).select("c").dropDuplicates(["c"])
-    held = units.join(F.broadcast(parts), T.matches(F.col("c"), F.col("low"), F.col("words"))).select("unit_id", F.col("c.raw").alias("raw"))
-    hits = [asked.filter(which).select("query_id", "total", F.col("c.raw").alias("raw"), F.col("c.identifier").alias("identifier")).join(found, "raw") for which, found in ((~compound, words), (compound, held.distinct()))]
-    out = hits[0].unionByName(hits[1]).groupBy("query_id", "unit_id").agg(F.count("*").alias("matched"), F.bool_or("identifier").alias("identifier"), F.first("total").alias("total"))
-    return out.select("query_id", "unit_id", "matched", (F.col("identifier") | (F.col("matched") >= F.least(F.lit(2), F.col("total")))).alias("credible"))
+    units = C.units(spark, d).select("unit_id", F.concat("evidence_text", F.lit("\n"), "routing_text").alias("text"))
+    return concepts.credible_pairs(units, _concepts(spark, d))
 
 
 @query(f"""WITH {C.SQL_UNITS}, p AS (SELECT unit_id, locator, string_split(locator, '/') AS s FROM units), x AS (SELECT unit_id, locator, s, list_position(list_transform(s, lambda v: regexp_matches(v, '^[a-z]{{2,3}}([-_][A-Za-z0-9]+)?$')), true) AS pos FROM p)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import admission, chunking, graph, history, ranking
+from lodestone.operators import admission, chunking, concepts, graph, history, ranking
 from lodestone.sources import git, parsers
 from lodestone.streaming import refresh
 
@@ -171,3 +171,20 @@ def test_names_of_no_other_part_in_the_library():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"lodestone\.llm|from lodestone import llm", p.read_text()), p
+
+
+def test_concepts_of_all_pairs_without_a_join(spark):
+    texts = ["Alpha beta.", "xalpha, gamma", "foo-bar_baz qux", "foo bar", "pre-foo-bar!", "\u00e9tude\u00a0alpha,x", "", None, "the snake_case\nfoo"]
+    asked = ["the alpha", "alpha, beta", "foo-bar", "foo-bar qux", "snake_case x", "\u00c9TUDE the", "", "of the", "-foo- --", "fooBar, foobar,"]
+    units = spark.createDataFrame(list(enumerate(texts)), "unit_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string").select("query_id", T.concepts(F.col("text")).alias("concepts"))
+    # Each concept against each text, one by one.
+    pairs = units.crossJoin(rows).withColumn("c", F.explode("concepts"))
+    hit = pairs.filter(T.matches(F.col("c"), F.lower("text"), T.terms(F.col("text")))).groupBy("query_id", "unit_id").agg(F.count("*").alias("n"), F.bool_or("c.identifier").alias("i"), F.first(F.size("concepts")).alias("total"))
+    want = {(r.query_id, r.unit_id, r.n, r.i or r.n >= min(2, r.total)) for r in hit.collect()}
+    out = concepts.credible_pairs(units, rows)
+    found = [tuple(r) for r in out.collect()]
+    assert set(found) == want and len(found) == len(want) > 10
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert concepts.credible_pairs(units, rows.limit(0)).count() == 0 and concepts.credible_pairs(units.limit(0), rows).count() == 0
