@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
+from lodestone.functions.scratch import BROADCAST_BYTES, size_of, written
 
 SEEDS, ACCEPTED, PAGE = 5, 6, 10
 HIT, SYMBOL_HIT, OTHER_KIND = 0.02, 0.03, 0.01
@@ -35,10 +36,21 @@ def sessions_of_symbols(unit_anchors: DataFrame, units: DataFrame) -> DataFrame:
     """(symbol, file, unit_id): session units that touched a file which defines a symbol."""
     defining = unit_anchors.filter("kind = 'symbol' and relationship = 'defines'").select("unit_id", F.col("value").alias("symbol"))
     files = unit_anchors.filter("kind = 'file' and relationship = 'defined_in'").select("unit_id", F.col("value").alias("file"))
-    home = defining.join(files, "unit_id").select("symbol", "file").distinct()
+    home = written(defining.join(files, "unit_id").select("symbol", "file").distinct())
     touched = unit_anchors.filter("kind = 'file' and relationship = 'touched'").select(F.col("value").alias("file"), "unit_id")
     sessions = units.filter("source_kind = 'agent_session'").select("unit_id")
-    return home.join(touched.join(sessions, "unit_id", "left_semi"), "file").select("symbol", "file", "unit_id").distinct()
+    # Files are few and their symbols times their sessions many: units are dealt out one by one and meet all symbols of their file,
+    # or the symbols of one group after the other where they are too many for a broadcast.  Both sides are distinct, so are the pairs.
+    groups = 1 + size_of(home) // BROADCAST_BYTES
+    spark = units.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = touched.join(sessions, "unit_id", "left_semi").repartition(tasks, "file", "unit_id").distinct()
+    if groups > 1:
+        home = home.withColumn("group", F.pmod(F.xxhash64("symbol"), F.lit(groups)))
+        dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    else:
+        home = F.broadcast(home)
+    return dealt.join(home, ["file", *(["group"] if groups > 1 else [])]).select("symbol", "file", "unit_id")
 
 
 def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries: DataFrame, memories: DataFrame | None = None, shown: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def units_for_anchor_page(spark: SparkSession, d: str) -> DataFrame:
  SELECT DISTINCT symbol, file, t.unit_id FROM home JOIN ua t ON t.kind = 'file' AND t.relationship = 'touched' AND t.value = home.file JOIN units u ON u.unit_id = t.unit_id WHERE u.source_kind = 'agent_session'""")
 def symbol_sessions_two_hop(spark: SparkSession, d: str) -> DataFrame:
     units = C.units(spark, d)
-    return graph.sessions_of_symbols(C.unit_anchors(units), units)
+    return graph.sessions_of_symbols(written(C.unit_anchors(units)), units)
 
 
 _EXPANSION = f"{R._FUSED2}, {R.sql_expanded('fused')} SELECT query_id, unit_id, round(score, 6) AS score, rank, expanded FROM expanded"

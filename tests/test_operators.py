@@ -188,3 +188,19 @@ def test_concepts_of_all_pairs_without_a_join(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert concepts.credible_pairs(units, rows.limit(0)).count() == 0 and concepts.credible_pairs(units.limit(0), rows).count() == 0
+
+
+def test_sessions_of_symbols_are_dealt_by_unit(spark, monkeypatch):
+    rows = [(u, "file", f"f{u % 2}", "defined_in" if u < 6 else "touched") for u in range(40)] + [(u, "symbol", f"n{u % 4}", "defines") for u in range(6)]
+    anchors = spark.createDataFrame(rows + rows[:9] + rows[30:], "unit_id long, kind string, value string, relationship string")
+    units = spark.createDataFrame([(u, "code" if u < 6 else "agent_session") for u in range(38)], "unit_id long, source_kind string")
+    home = {(f"n{u % 4}", f"f{u % 2}") for u in range(6)}
+    want = sorted((s, f, u) for s, f in home for u in range(6, 38) if f == f"f{u % 2}")
+    out = graph.sessions_of_symbols(anchors, units)
+    assert sorted(map(tuple, out.collect())) == want
+    # The pairs themselves are not shuffled, and AQE may not put all units into one task.
+    assert out.rdd.getNumPartitions() >= 32
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join Inner") < plan.index("Deduplicate")
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 100)
+    assert sorted(map(tuple, graph.sessions_of_symbols(anchors, units).collect())) == want
