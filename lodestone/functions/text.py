@@ -76,12 +76,17 @@ def _folds() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _folds()
 
 
-def index_terms(text: Column) -> Column:
-    """Terms as the full-text index has them: without diacritics."""
+def split_index_terms(text: Column) -> Column:
+    """The index terms of a text, with an empty string where it begins or ends with another sign."""
     low = F.lower(text)
     # Few texts need the letter-by-letter pass.
     bare = F.regexp_replace(F.translate(low, _ACCENTED, _PLAIN), "[\u0300-\u036f]", "")
-    return F.filter(F.split(F.when(low.rlike("[\u00c0-\u1fff]"), bare).otherwise(low), _NOT_ALNUM, -1), lambda t: t != "")
+    return split_terms(F.when(low.rlike("[\u00c0-\u1fff]"), bare).otherwise(low))
+
+
+def index_terms(text: Column) -> Column:
+    """Terms as the full-text index has them: without diacritics."""
+    return F.filter(split_index_terms(text), lambda t: t != "")
 
 
 def first_term(text: Column) -> Column:

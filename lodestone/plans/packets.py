@@ -27,12 +27,9 @@ def eligible(units: DataFrame, questions: DataFrame) -> DataFrame:
 
 def channels(units: DataFrame, questions: DataFrame, columns: list[str], excluded: DataFrame | None, top_n: int) -> DataFrame:
     """The lexical channels: hidden memories and excluded units are gone before the limit."""
-    kinds = units.select("unit_id", (F.col("source_kind") == "hindsight_memory").alias("is_memory"))
-    seen = eligible(units, questions).withColumn("seen", F.lit(True))
-    scored = ranking.bm25(units, questions, columns, TEXTS)
-    if excluded is not None:
-        scored = scored.join(excluded.select("unit_id").distinct(), "unit_id", "left_anti")
-    scored = scored.join(kinds, "unit_id").join(seen, ["query_id", "unit_id"], "left").filter("not is_memory or seen").select("query_id", "channel", "unit_id", "score")
+    tier = F.when(F.col("source_kind") == "hindsight_memory", T.tier_of_status(F.coalesce("status", F.lit("unknown"))))
+    tiers = questions.select("query_id", F.explode(T.visibility(T.facets(F.col("text")))).alias("gate"))
+    scored = ranking.bm25(units, questions, columns, TEXTS, n=top_n, gate=tier, opened=tiers, excluded=excluded)
     return ranking.top(scored, top_n, by=("query_id", "channel"))
 
 

@@ -20,7 +20,7 @@ TEXTS = ["evidence_text", "routing_text"]
 
 def _channel(spark: SparkSession, d: str, column: str, n: int = TOP, **more) -> DataFrame:
     units = C.units(spark, d)
-    return ranking.top(ranking.bm25(units, C.questions(spark, d), [column], TEXTS, **more), n)
+    return ranking.top(ranking.bm25(units, C.questions(spark, d), [column], TEXTS, n=n, **more), n)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ _FUSED2 = f"""{_BASE}, {_sql_channel('evidence_text', 'b')}, {_sql_channel('rout
 
 def _lexical_lists(spark: SparkSession, d: str) -> DataFrame:
     """Both lexical channels from one pass over the texts."""
-    return ranking.top(ranking.bm25(C.units(spark, d), C.questions(spark, d), TEXTS, TEXTS), TOP, by=("query_id", "channel"))
+    return ranking.top(ranking.bm25(C.units(spark, d), C.questions(spark, d), TEXTS, TEXTS, n=TOP), TOP, by=("query_id", "channel"))
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
@@ -128,10 +128,8 @@ def lifecycle_filter_before_limit(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_BASE}, {_sql_channel('evidence_text', 'b', '''NOT (u.source_kind = 'agent_session' AND u.unit_id % 30 < 10)''', 5)} SELECT query_id, unit_id, rank, round(score, 6) AS score FROM b_top")
 def exclude_sessions_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Units of excluded sessions leave their places to the next ones."""
-    units = C.units(spark, d)
-    gone = C.unit_anchors(units).filter("kind = 'session' and cast(substr(value, 2) as int) < 10").select("unit_id")
-    scored = ranking.bm25(units, C.questions(spark, d), ["evidence_text"], TEXTS)
-    return _shown(ranking.top(scored.join(gone, "unit_id", "left_anti"), 5))
+    gone = C.unit_anchors(C.units(spark, d)).filter("kind = 'session' and cast(substr(value, 2) as int) < 10").select("unit_id")
+    return _shown(_channel(spark, d, "evidence_text", 5, excluded=gone))
 
 
 _CAND = f"{_FUSED2}, c AS (SELECT query_id, unit_id, rank AS place, token_count FROM fused JOIN units USING (unit_id) WHERE rank <= 30)"

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import sqlite3
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -232,3 +233,53 @@ def test_best_cuts_at_every_put():
         best.put(np.zeros(100, int), np.arange(k, k + 100), np.full(100, 0.5))
         assert len(best.unit) == 3
     assert list(best.unit) == [0, 1, 2] and not best.may_enter(np.array([[0.4, 0.4]]))[0, 0] and best.may_enter(np.array([[0.5, 0.0]])).all()
+
+
+def test_bm25_scores_units_where_they_are(spark, monkeypatch):
+    draw = random.Random(3)
+    words = ["a", "b", "caf\u00e9", "cafe", "d", "e", "f", "g"]
+    say = lambda k: " ".join(draw.choice(words) for _ in range(draw.randrange(k)))
+    rows = [(u, say(9) if u % 7 else None, say(4), "t" if u % 5 == 0 else "o" if u % 5 == 1 else None, u % 3 > 0) for u in range(90)] + [(None, "a b", "a", None, True), (3, "a a g", "b", None, True)]
+    asked = [(q, say(6), q % 2) for q in range(40)] + [(100, "", 0), (101, "zz", 0)]
+    units = spark.createDataFrame(rows, "unit_id long, x string, y string, tier string, ok boolean").coalesce(1)
+    queries = spark.createDataFrame(asked, "query_id long, text string, odd int")
+    split = lambda t: (t or "").replace("\u00e9", "e").split()
+    # Rows of one unit count as one, but for the number of units.
+    merged = {}
+    for u, x, y, t, ok in rows:
+        a, b, *_ = merged.get(u, ([], [], None, None))
+        merged[u] = (a + split(x), b + split(y), t, ok)
+    mean = sum(len(a) + len(b) for a, b, *_ in merged.values()) / len(rows)
+    want = {}
+    for c, name in enumerate("xy"):
+        df = Counter(t for v in merged.values() for t in set(v[c]))
+        for q, text, _ in asked:
+            for u, v in merged.items():
+                tf = Counter(v[c])
+                ln = {t: math.log((len(rows) - df[t] + 0.5) / (df[t] + 0.5)) for t in split(text) if tf[t]}
+                if u is not None and ln:
+                    want[q, name, u] = sum((ln[t] if ln[t] > 0 else 1e-6) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * (len(v[0]) + len(v[1])) / mean)) for t in split(text) if tf[t])
+    got = lambda df: {(r.query_id, r.channel, r.unit_id): round(r.score, 9) for r in df.collect()}
+    near = lambda a, b: a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=2e-9) for k in a)
+    monkeypatch.setattr(ranking, "CELLS", 200)
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 25)
+    assert near(got(ranking.bm25(units, queries, ["x", "y"], ["x", "y"])), want) and len(want) > 500
+
+    def best(scores, n):
+        by = {}
+        for (q, c, u), s in scores.items():
+            by.setdefault((q, c), []).append((-round(s, 9), u))
+        return {(q, c, u): -s for (q, c), v in by.items() for s, u in sorted(v)[:n]}
+
+    out = ranking.bm25(units, queries, ["y", "x"], ["x", "y"], n=4)
+    assert near(got(ranking.top(out, 4, by=("query_id", "channel"))), best(want, 4))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    # What is closed, excluded or behind a gate is gone before the limit, and still counts in the statistics.
+    opened = queries.filter("odd = 1").select("query_id", F.lit("t").alias("gate"))
+    gone = spark.createDataFrame([(u,) for u in range(0, 90, 11)], "unit_id long")
+    some = ranking.bm25(units, queries, ["x"], ["x", "y"], F.col("ok"), 4, F.col("tier"), opened, gone)
+    odd = {q for q, _, x in asked if x}
+    seen = {k: s for k, s in want.items() if k[1] == "x" and k[2] % 11 and (k[2] == 3 or k[2] % 3) and (merged[k[2]][2] is None or merged[k[2]][2] == "t" and k[0] in odd)}
+    assert near(got(ranking.top(some, 4)), best(seen, 4))
+    assert ranking.bm25(units.limit(0), queries, ["x"], ["x"], n=4).count() == 0 and ranking.bm25(units, queries.limit(0), ["x"], ["x"], n=4).count() == 0
