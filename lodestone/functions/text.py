@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import operator
 import unicodedata
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NOT_ALNUM = r"[^\p{L}\p{N}]+"
@@ -244,18 +251,24 @@ def source_kind(path: Column) -> Column:
 KEYWORDS = [("retry", 0), ("backoff", 0), ("cache", 1), ("database", 2), ("sqlite", 2), ("history", 3), ("commit", 3), ("auth", 4), ("authentication", 4), ("token", 5), ("session", 6), ("markdown", 7), ("parser", 8), ("route", 9)]
 
 
-def mock_embedding(text: Column) -> Column:
-    """Ten dimensions of keyword counts, or of hash bytes for a text without any, of unit length."""
-    low = F.lower(text)
-    counts = []
-    for d in range(10):
-        total = F.lit(0.0)
-        for word, at in KEYWORDS:
-            if at == d:
-                total = total + F.when(low.contains(word), 1.0).otherwise(0.0)
-        counts.append(total)
-    digest = F.sha2(text, 256)
-    bytes_ = F.array(*(F.conv(F.substring(digest, 2 * d + 1, 2), 16, 10).cast("double") / 255.0 for d in range(10)))
-    raw = F.when(F.aggregate(F.array(*counts), F.lit(0.0), lambda a, x: a + x) > 0, F.array(*counts)).otherwise(bytes_)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+def mock_embedding(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(``key``, vector) for each row: ten dimensions of keyword counts, or of hash bytes for a text without any, of unit length; zeros for null.
+
+    Each text is lower-cased, searched and hashed once, not for every dimension.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = batch.column(2)
+            raw = np.zeros((batch.num_rows, 10))
+            for word, at in KEYWORDS:
+                raw[:, at] += np.asarray(pc.fill_null(pc.match_substring(low, word), False))
+            for k in np.flatnonzero((raw.sum(axis=1) == 0) & np.asarray(low.is_valid())):
+                raw[k] = np.frombuffer(hashlib.sha256(batch.column(1)[k].as_py().encode()).digest(), np.uint8, 10) / 255.0
+            # Dimension by dimension, as a sum in order.
+            norm = np.sqrt(reduce(operator.add, (raw[:, d] * raw[:, d] for d in range(10))))
+            vector = raw / np.where(norm > 0, norm, 1.0)[:, None]
+            ends = pa.array(np.arange(0, 10 * batch.num_rows + 1, 10, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(vector.ravel()))], [key, "vector"])
+
+    return docs.select(key, F.col(text).alias("text"), F.lower(text).alias("low")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, vector array<double>")

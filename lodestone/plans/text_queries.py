@@ -229,7 +229,7 @@ _HASHED = "list_transform(range(10), lambda i: CAST('0x' || substr(sha256(text),
  SELECT doc_id, i AS dimension, round(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS value FROM r, (SELECT unnest(range(1, 11)) AS i)""")
 def mock_embedding(spark: SparkSession, d: str) -> DataFrame:
     """The vector of every document, a row for each dimension."""
-    docs = C.read(spark, d, "documents").select("doc_id", F.posexplode(T.mock_embedding(F.col("text"))).alias("at", "value"))
+    docs = T.mock_embedding(C.read(spark, d, "documents"), "doc_id", "text").select("doc_id", F.posexplode("vector").alias("at", "value"))
     return docs.select("doc_id", (F.col("at") + 1).cast("long").alias("dimension"), F.round("value", 6).alias("value"))
 
 

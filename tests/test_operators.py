@@ -1,5 +1,6 @@
 """Single operators on hand-built rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -283,3 +284,19 @@ def test_bm25_scores_units_where_they_are(spark, monkeypatch):
     seen = {k: s for k, s in want.items() if k[1] == "x" and k[2] % 11 and (k[2] == 3 or k[2] % 3) and (merged[k[2]][2] is None or merged[k[2]][2] == "t" and k[0] in odd)}
     assert near(got(ranking.top(some, 4)), best(seen, 4))
     assert ranking.bm25(units.limit(0), queries, ["x"], ["x"], n=4).count() == 0 and ranking.bm25(units, queries.limit(0), ["x"], ["x"], n=4).count() == 0
+
+
+def test_mock_embedding_looks_at_a_text_once(spark):
+    texts = ["Retry the CACHE, backoff", "no word of the list", "", None, "sqlite token auth", "\u00e9t\u00e9 " * 50]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, low string")
+    out = T.mock_embedding(docs, "doc_id", "text")
+    want = []
+    for t in texts:
+        v = [float(sum(w in (t or "").lower() for w, at in T.KEYWORDS if at == d)) for d in range(10)]
+        if t is not None and not any(v):
+            v = [x / 255.0 for x in hashlib.sha256(t.encode()).digest()[:10]]
+        norm = math.sqrt(sum(x * x for x in v))
+        want.append([x / norm if norm else 0.0 for x in v])
+    assert np.allclose([r.vector for r in out.orderBy("doc_id").collect()], want, rtol=0, atol=1e-12)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert T.mock_embedding(docs.limit(0), "doc_id", "text").count() == 0
