@@ -14,8 +14,11 @@ def align_lines(changes: DataFrame, spans: DataFrame) -> DataFrame:
     """The smallest span around each changed line (path, line, breadcrumb); ties go to the smaller breadcrumb.
 
     ``changes``: path, line. ``spans``: path, start_line, end_line, breadcrumb. Lines and spans meet by buckets
-    of lines, so the join is on equal keys and no file's lines meet all its spans.
+    of lines, so the join is on equal keys and no file's lines meet all its spans. Of equal spans only the smallest
+    breadcrumb goes on, so repeated ones cost no more than their reading; none of the inputs has to be distinct.
     """
+    spans = spans.groupBy("path", "start_line", "end_line").agg(F.min("breadcrumb").alias("breadcrumb"))
+    changes = changes.select("path", "line").distinct()
     bucket = lambda c: F.floor(c / F.lit(LINES)).cast("long")
     cells = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_line")), bucket(F.col("end_line")))))
     hit = changes.withColumn("bucket", bucket(F.col("line"))).join(cells, ["path", "bucket"]).filter("line between start_line and end_line")

@@ -69,9 +69,9 @@ _SPANS = """ch AS (SELECT 'f' || (l_orderkey % 40) AS path, (l_partkey % 500) +
 @query(f"""WITH {_SPANS}, c AS (SELECT DISTINCT * FROM ch), s AS (SELECT DISTINCT * FROM sp), m AS (SELECT c.path, c.line, breadcrumb, row_number() OVER (PARTITION BY c.path, c.line ORDER BY end_line - start_line, breadcrumb) AS n FROM c JOIN s ON s.path = c.path AND c.line BETWEEN start_line AND end_line)
  SELECT path, line, breadcrumb FROM m WHERE n = 1""")
 def span_alignment_range_join(spark: SparkSession, d: str) -> DataFrame:
-    changes = C.read(spark, d, "lineitem").select(F.concat(F.lit("f"), (F.col("l_orderkey") % 40).cast("string")).alias("path"), ((F.col("l_partkey") % 500) + 1).alias("line")).distinct()
+    changes = C.read(spark, d, "lineitem").select(F.concat(F.lit("f"), (F.col("l_orderkey") % 40).cast("string")).alias("path"), ((F.col("l_partkey") % 500) + 1).alias("line"))
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    spans = C.read(spark, d, "orders").select(F.concat(F.lit("f"), (c % 40).cast("string")).alias("path"), (o % 450).alias("start_line"), (o % 450 + c % 60).alias("end_line"), F.concat(F.lit("s"), (o % 977).cast("string")).alias("breadcrumb")).distinct()
+    spans = C.read(spark, d, "orders").select(F.concat(F.lit("f"), (c % 40).cast("string")).alias("path"), (o % 450).alias("start_line"), (o % 450 + c % 60).alias("end_line"), F.concat(F.lit("s"), (o % 977).cast("string")).alias("breadcrumb"))
     return history.align_lines(changes, spans)
 
 

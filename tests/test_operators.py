@@ -300,3 +300,12 @@ def test_mock_embedding_looks_at_a_text_once(spark):
     assert np.allclose([r.vector for r in out.orderBy("doc_id").collect()], want, rtol=0, atol=1e-12)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert T.mock_embedding(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_repeated_spans_and_lines_are_cut_before_they_meet(spark):
+    spans = spark.createDataFrame([("f", 10 * (k % 3), 10 * (k % 3) + 70, f"s{k:03}") for k in range(300)], "path string, start_line long, end_line long, breadcrumb string")
+    lines = spark.createDataFrame([("f", k % 100) for k in range(500)], "path string, line long")
+    out = history.align_lines(lines, spans)
+    assert sorted((r.line, r.breadcrumb) for r in out.collect()) == [(k, "s000" if k <= 70 else "s001" if k <= 80 else "s002") for k in range(91)]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "min(breadcrumb" in plan and plan.index("Join Inner") < plan.index("min(breadcrumb") and plan.index("Join Inner") < plan.index("Deduplicate")
