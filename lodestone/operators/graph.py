@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-from lodestone.functions.scratch import BROADCAST_BYTES, size_of, written
+from lodestone.functions.scratch import BROADCAST_BYTES, size_of, small, written
 
 SEEDS, ACCEPTED, PAGE = 5, 6, 10
 HIT, SYMBOL_HIT, OTHER_KIND = 0.02, 0.03, 0.01
@@ -56,22 +56,25 @@ def sessions_of_symbols(unit_anchors: DataFrame, units: DataFrame) -> DataFrame:
 def expand(fused: DataFrame, unit_anchors: DataFrame, units: DataFrame, queries: DataFrame, memories: DataFrame | None = None, shown: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """(query_id, unit_id, score, rank, expanded): the fused list and the units reached from its first five.
 
-    ``units``: unit_id, source_kind. ``queries``: query_id, text. Of ``memories`` (unit_id) only those in ``shown`` (query_id, unit_id) are candidates.
+    ``fused`` is a table in files. ``units``: unit_id, source_kind. ``queries``: query_id, text. Of ``memories`` (unit_id) only those in ``shown`` (query_id, unit_id) are candidates.
     Units in ``excluded`` (unit_id) are none, though they count towards an anchor's page.
     """
-    seeds = fused.filter(F.col("rank") <= SEEDS).select("query_id", F.col("unit_id").alias("seed"), F.col("rank").alias("seed_rank")).join(units.select(F.col("unit_id").alias("seed"), F.col("source_kind").alias("seed_kind")), "seed")
-    own = unit_anchors.select(F.col("unit_id").alias("seed"), "kind", "value", "relationship").distinct()
+    # What leads on from the seeds is little, so it is written and goes to where units and anchors are.
+    first = small(fused.filter(F.col("rank") <= SEEDS).select("query_id", F.col("unit_id").alias("seed"), F.col("rank").alias("seed_rank")))
+    seeds = written(units.select(F.col("unit_id").alias("seed"), F.col("source_kind").alias("seed_kind")).join(first, "seed"))
+    own = unit_anchors.select(F.col("unit_id").alias("seed"), "kind", "value", "relationship").join(small(seeds.select("seed").distinct()), "seed", "left_semi").distinct()
     paths = seeds.join(own, "seed")
     memory = F.col("seed_kind") == "hindsight_memory"
     # Of a memory's anchors two lead to its provenance and two along its lifecycle; its own name leads nowhere.
     family = F.when(~memory, F.lit("any")).when(F.col("kind") != "memory", F.lit("provenance")).when(F.col("relationship") != "self", F.lit("lifecycle"))
     paths = paths.withColumn("family", family).filter("family is not null")
     order = Window.partitionBy("query_id", "seed", "family").orderBy("kind", "value", "relationship")
-    paths = paths.withColumn("nth", F.row_number().over(order)).filter("family = 'any' or nth <= 2")
+    paths = written(paths.withColumn("nth", F.row_number().over(order)).filter("family = 'any' or nth <= 2"))
     # Pages of the anchors on some path only.
-    led = unit_anchors.join(paths.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    led = unit_anchors.join(small(paths.select("kind", "value").distinct()), ["kind", "value"], "left_semi")
     pages = first_units(led, PAGE).select("kind", "value", "unit_id")
-    hits = paths.join(pages, ["kind", "value"]).filter("unit_id <> seed").join(units.select("unit_id", "source_kind"), "unit_id")
+    reached = written(paths.join(pages, ["kind", "value"]).filter("unit_id <> seed"))
+    hits = units.select("unit_id", "source_kind").join(small(reached), "unit_id")
     if excluded is not None:
         hits = hits.join(excluded.select("unit_id").distinct(), "unit_id", "left_anti")
     if memories is not None:
@@ -99,9 +102,9 @@ def selection_order(expanded: DataFrame) -> DataFrame:
 def suppress_siblings(pool: DataFrame, units: DataFrame) -> DataFrame:
     """The pool without translations: of each documentation family one locator stays.
 
-    ``pool``: query_id, unit_id, place, coverage. The best is by coverage, then the locator without a locale, then the first place.
+    ``pool``: query_id, unit_id, place, coverage, a table in files. The best is by coverage, then the locator without a locale, then the first place.
     """
-    docs = pool.join(units.filter("source_kind = 'markdown'").select("unit_id", "locator"), "unit_id").withColumn("family", T.doc_family(F.col("locator")))
+    docs = units.filter("source_kind = 'markdown'").select("unit_id", "locator").join(small(pool), "unit_id").withColumn("family", T.doc_family(F.col("locator")))
     sources = docs.groupBy("query_id", "family", "locator").agg(F.max("coverage").alias("coverage"), F.min("place").alias("first"))
     order = Window.partitionBy("query_id", "family").orderBy(F.col("coverage").desc(), (F.col("locator") == F.col("family")).desc(), F.col("first"), F.col("locator"))
     losers = sources.withColumn("nth", F.row_number().over(order)).filter("nth > 1").select("query_id", "locator")

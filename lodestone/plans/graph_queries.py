@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.scratch import written
+from lodestone.functions.scratch import small, written
 from lodestone.operators import graph, history
 from lodestone.plans import corpus as C
 from lodestone.plans import ranking_queries as R
@@ -48,7 +48,7 @@ _EXPANSION = f"{R._FUSED2}, {R.sql_expanded('fused')} SELECT query_id, unit_id,
 @query(_EXPANSION)
 def anchor_expansion_topk(spark: SparkSession, d: str) -> DataFrame:
     units = C.units(spark, d)
-    out = graph.expand(written(R._lexical(spark, d)), C.unit_anchors(units), units, C.questions(spark, d))
+    out = graph.expand(R._lexical(spark, d), written(C.unit_anchors(units)), units, C.questions(spark, d))
     return out.select("query_id", "unit_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "expanded")
 
 
@@ -59,7 +59,7 @@ def locale_suppression(spark: SparkSession, d: str) -> DataFrame:
     units = C.units(spark, d)
     pool = R._lexical(spark, d).filter(F.col("rank") <= 30).select("query_id", "unit_id", F.col("rank").cast("long").alias("place"))
     said = F.concat("evidence_text", F.lit("\n"), "routing_text")
-    pool = pool.join(units, "unit_id").join(C.questions(spark, d), "query_id").select("query_id", "unit_id", "place", T.term_coverage(F.col("text"), said).alias("coverage"))
+    pool = units.join(small(pool), "unit_id").join(C.questions(spark, d), "query_id").select("query_id", "unit_id", "place", T.term_coverage(F.col("text"), said).alias("coverage"))
     return graph.suppress_siblings(written(pool), units)
 
 

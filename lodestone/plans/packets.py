@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.scratch import written
+from lodestone.functions.scratch import small, written
 from lodestone.operators import admission, graph, ranking
 
 TEXTS = ["evidence_text", "routing_text"]
@@ -40,16 +40,17 @@ def pool(ranked: DataFrame, units: DataFrame, anchors: DataFrame, vectors: DataF
     ``units`` needs commit, path, symbol and part beside the ranking's columns.  Ranks and pool are written: both are read several times.
     """
     ranked = written(ranked)
-    order = graph.selection_order(graph.expand(ranked, anchors, units, questions, memories, hidden_but, excluded)).filter(F.col("place") <= admission.POOL)
+    order = written(graph.selection_order(graph.expand(ranked, anchors, units, questions, memories, hidden_but, excluded)).filter(F.col("place") <= admission.POOL))
     asked = questions.select("query_id", F.col("text").alias("question"), T.concepts(F.col("text")).alias("concepts"), T.required_roles(T.facets(F.col("text"))).alias("required"))
-    rows = order.join(units, "unit_id").join(asked, "query_id")
+    rows = units.join(small(order), "unit_id").join(asked, "query_id")
     # Both texts of a unit answer for it.
     said = F.concat("evidence_text", F.lit("\n"), "routing_text")
     rows = rows.withColumn("coverage", T.term_coverage(F.col("question"), said)).withColumn("credible", T.credible(F.col("concepts"), said, F.col("expanded")))
     rows = written(rows)
     kept = graph.suppress_siblings(rows.select("query_id", "unit_id", "place", "coverage"), units).select("query_id", "unit_id")
     rows = rows.join(kept, ["query_id", "unit_id"], "left_semi")
-    rows = rows.join(vectors.select("unit_id", "embedding"), "unit_id", "left") if vectors is not None else rows.withColumn("embedding", F.lit(None).cast("array<double>"))
+    near = vectors.select("unit_id", "embedding").join(small(order.select("unit_id").distinct()), "unit_id", "left_semi") if vectors is not None else None
+    rows = rows.join(near, "unit_id", "left") if near is not None else rows.withColumn("embedding", F.lit(None).cast("array<double>"))
     return written(rows.select(
         "query_id", "unit_id", "place", "source_kind", T.role_of_kind(F.col("source_kind")).alias("role"), F.col("locator").alias("source_id"), "commit", "path", "symbol", "part",
         "content_hash", "token_count", "credible", "required", "embedding", "evidence_text", "timestamp",

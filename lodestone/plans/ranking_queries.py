@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.scratch import small, written
 from lodestone.operators import admission, ranking
 from lodestone.plans import corpus as C
 from lodestone.plans import packets
@@ -79,7 +80,8 @@ def _lexical_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.fuse(_lexical_lists(spark, d))
+    """The fused list, written: it is short and read several times."""
+    return written(ranking.fuse(_lexical_lists(spark, d)))
 
 
 @query(f"{_FUSED2} SELECT query_id, unit_id, rank, round(score, 6) AS score FROM fused")
@@ -99,7 +101,8 @@ _FUSED4 = f"""{_BASE}, {_sql_channel('evidence_text', 'b')}, {_sql_channel('rout
 def rrf_fuse_four_channels(spark: SparkSession, d: str) -> DataFrame:
     channels = _lexical_lists(spark, d)
     for shift, name in ((0, "evidence_vector"), (1, "routing_vector")):
-        asked = C.questions(spark, d).select("query_id", (F.col("query_id") + shift).alias("unit_id")).join(C.vectors(spark, d).select("unit_id", "embedding"), "unit_id").select("query_id", "embedding")
+        ids = small(C.questions(spark, d).select("query_id", (F.col("query_id") + shift).alias("unit_id")))
+        asked = written(C.vectors(spark, d).select("unit_id", "embedding").join(ids, "unit_id").select("query_id", "embedding"))
         channels = channels.select("query_id", "unit_id", "rank", "channel").unionByName(ranking.cosine_top(C.vectors(spark, d), asked, TOP).select("query_id", "unit_id", "rank", F.lit(name).alias("channel")))
     return _shown(ranking.fuse(channels))
 
@@ -141,7 +144,7 @@ BUDGET = 2000
  SELECT query_id, unit_id, place, token_count, used FROM walk WHERE took""")
 def budget_admission(spark: SparkSession, d: str) -> DataFrame:
     """Units in fused order as long as the budget lasts, skipping what is too long."""
-    pool = _lexical(spark, d).filter(F.col("rank") <= admission.POOL).join(C.units(spark, d).select("unit_id", "token_count"), "unit_id")
+    pool = C.units(spark, d).select("unit_id", "token_count").join(small(_lexical(spark, d).filter(F.col("rank") <= admission.POOL)), "unit_id")
     taken = admission.within_budget(pool.withColumnRenamed("rank", "place"), BUDGET)
     return taken.select("query_id", "unit_id", F.col("place").cast("long").alias("place"), "token_count", "used")
 
@@ -151,7 +154,7 @@ def pool_of(spark: SparkSession, d: str) -> DataFrame:
     units = C.units(spark, d)
     commit = F.when(F.col("source_kind") == "git_commit", F.concat(F.lit("c"), F.floor(F.col("unit_id") / 10).cast("string")))
     units = units.withColumns({"commit": commit, "path": F.col("locator"), "symbol": F.lit(None).cast("string"), "part": F.lit(0)})
-    return packets.pool(_ranked(spark, d), units, C.unit_anchors(units), C.vectors(spark, d), C.questions(spark, d))
+    return packets.pool(_ranked(spark, d), units, written(C.unit_anchors(units)), C.vectors(spark, d), C.questions(spark, d))
 
 
 def sql_expanded(ranked: str) -> str:

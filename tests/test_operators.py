@@ -12,10 +12,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.scratch import written
 from lodestone.functions.sparse import Best
 from lodestone.operators import admission, chunking, concepts, graph, history, ranking
+from lodestone.plans import corpus
 from lodestone.sources import git, parsers
 from lodestone.streaming import refresh
+from tests.llm.util import SF
 
 
 def test_fusion_ties_go_to_the_smaller_unit(spark):
@@ -309,3 +312,30 @@ def test_repeated_spans_and_lines_are_cut_before_they_meet(spark):
     assert sorted((r.line, r.breadcrumb) for r in out.collect()) == [(k, "s000" if k <= 70 else "s001" if k <= 80 else "s002") for k in range(91)]
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "min(breadcrumb" in plan and plan.index("Join Inner") < plan.index("min(breadcrumb") and plan.index("Join Inner") < plan.index("Deduplicate")
+
+
+def test_texts_stay_where_they_are_for_a_short_list(spark):
+    asked = spark.createDataFrame([(1, "x")], "query_id long, text string")
+    rows = [(1, u, 1.0 / (u + 1), u + 1) for u in range(40)]
+    fused = written(spark.createDataFrame(rows, "query_id long, unit_id long, score double, rank int"))
+    pool = written(fused.select("query_id", "unit_id", F.col("rank").alias("place"), F.lit(1).alias("coverage")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        units = corpus.units(spark, SF)
+        anchors = written(corpus.unit_anchors(units))
+        for out, n in ((ranking.apply_priors(fused.join(asked, "query_id"), units), 40), (graph.suppress_siblings(pool, units), 1), (graph.expand(fused, anchors, units, asked), 40)):
+            lines = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+            depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+            scans = [k for k, line in enumerate(lines) if "documents.parquet" in line]
+            assert scans and out.count() >= n
+            for k in scans:
+                # The joins above a scan, from the nearest on: labels, then the short list.
+                above, at = [], depth[k]
+                for j in range(k - 1, -1, -1):
+                    if depth[j] < at:
+                        at = depth[j]
+                        above += ["Broadcast" in lines[j]] if "Join" in lines[j] else []
+                assert above[:2] == [True, True]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
